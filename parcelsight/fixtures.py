@@ -7,6 +7,7 @@ The statements use only syntax that Spark SQL and DuckDB share, except for addin
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,7 +66,8 @@ FROM (
     concat(partner, CASE WHEN l_suppkey % 9 = 3 THEN '_ElasticRun'
       ELSE {pick('l_partkey % 3', '_NDD', '_STD', '_Large')} END) AS account,
     concat(cast(l_orderkey AS string), '-', cast(l_linenumber AS string), '-',
-           cast(l_partkey AS string), '-', cast(l_suppkey AS string)) AS awb,
+           cast(l_partkey AS string), '-', cast(l_suppkey AS string), '-',
+           cast(cast(l_quantity AS int) AS string)) AS awb,
     CASE WHEN l_partkey % 41 = 0 THEN '' ELSE cast(l_orderkey AS string) END AS order_id,
     l_quantity * 250 AS weight, payment,
     CASE WHEN l_linenumber % 4 = 0 THEN concat(pickup_pin, '.0') ELSE pickup_pin END AS pickup_pin,
@@ -143,7 +145,7 @@ SELECT carrier,
   concat(cast(year(coalesce(pickup_ts, order_ts)) AS string), '-',
     lpad(cast(month(coalesce(pickup_ts, order_ts)) AS string), 2, '0')) AS service_month_key,
   'FORWARD' AS direction,
-  concat(carrier, '/', cast(year(coalesce(pickup_ts, order_ts)) AS string), '-',
+  concat(carrier, '/', cast(year(coalesce(pickup_ts, order_ts)) + 20 AS string), '-',
     lpad(cast(month(coalesce(pickup_ts, order_ts)) AS string), 2, '0'), '/bill.csv') AS path
 FROM shipments_raw
 WHERE l_suppkey % 9 <> 8 AND trim(carrier) <> ''"""
@@ -231,26 +233,26 @@ class Fixtures:
             statement = re.sub(rf"\b(FROM|JOIN) {key}\b", rf"\1 {{{key}}}", statement)
         return self.spark.sql(statement, **frames)
 
-    @property
+    @cached_property
     def shipments_raw(self) -> DataFrame:
         return self._run("shipments_raw", "lineitem", "orders", "customer", "part", "supplier")
 
-    @property
+    @cached_property
     def oms_orders(self) -> DataFrame:
         return self._run("oms_orders", "orders")
 
-    @property
+    @cached_property
     def invoice_raw(self) -> DataFrame:
         return self._run("invoice_raw", shipments_raw=self.shipments_raw)
 
-    @property
+    @cached_property
     def item_master_raw(self) -> DataFrame:
         return self._run("item_master_raw", "part")
 
-    @property
+    @cached_property
     def sla_lanes(self) -> DataFrame:
         return self._run("sla_lanes", shipments_raw=self.shipments_raw)
 
-    @property
+    @cached_property
     def sla_overrides_raw(self) -> DataFrame:
         return self._run("sla_overrides_raw", shipments_raw=self.shipments_raw)

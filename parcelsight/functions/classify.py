@@ -10,6 +10,7 @@ from parcelsight.functions.scalars import (
 
 from parcelsight.rules import products as P
 from parcelsight.rules import shipments as S
+from parcelsight.session import sql_literal
 
 
 def banded(c: Column, bands: list[tuple], above: str) -> Column:
@@ -96,6 +97,17 @@ def _first_rule(low: str, keyword_lists: list) -> Column:
     return F.expr(f"CASE {branches} END")
 
 
+def _first_rule_compact(low: str, keyword_lists: list) -> Column:
+    """Same result as `_first_rule` from a constant array of (rule, keyword) pairs.
+
+    The generated code stays tiny however often Catalyst copies the expression into filters
+    and join keys; used where the inputs are smaller than the shipment table.
+    """
+    pairs = ", ".join(f"struct({i} AS i, {sql_literal(k)} AS k)"
+                      for i, words in enumerate(keyword_lists) for k in words)
+    return F.expr(f"get(filter(array({pairs}), r -> contains({low}, r.k)), 0).i")
+
+
 def product_rule(low: str) -> Column:
     """Product rule index for a lower-case item name column: -1 blank, null unmatched."""
     return F.when(F.col(low) == "", F.lit(-1)).otherwise(
@@ -126,8 +138,8 @@ def add_invoice_category(df: DataFrame, label: Column, name: Column, out: str) -
         .withColumn("_first", F.trim(F.get(F.split("_label", "[|/]"), 0)))
     return staged.withColumn(out, F.coalesce(
         lookup("_first", P.EXPLICIT_CATEGORY),
-        pick(_first_rule("_name", words), cats),
-        F.when(F.col("_label") != "", pick(_first_rule("_label", words), cats)),
+        pick(_first_rule_compact("_name", words), cats),
+        F.when(F.col("_label") != "", pick(_first_rule_compact("_label", words), cats)),
         F.lit(P.INVOICE_DEFAULT),
     )).drop("_label", "_name", "_first")
 

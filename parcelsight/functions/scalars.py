@@ -110,7 +110,7 @@ def first_word(c: Column) -> Column:
 
 
 def split_skus(c: Column) -> Column:
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), "[,/|]"), F.trim)
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), "[,/|]"), lambda t: F.trim(t))
     return F.filter(parts, lambda t: t != "")
 
 
@@ -152,7 +152,7 @@ def inr(c: Column) -> Column:
     """Rupee amount in crore / lakh notation."""
     size = F.abs(c)
     return (
-        F.when(size >= 1e7, F.format_string("₹%sCr", F.format_number(rounded(c / 1e7, 2), "0.00")))
-        .when(size >= 1e5, F.format_string("₹%sL", F.format_number(rounded(c / 1e5, 2), "0.00")))
-        .when(c.isNotNull(), F.format_string("₹%s", F.format_number(rounded(c, 0), "#,##0")))
+        F.when(size >= 1e7, F.format_string("₹%.2fCr", rounded(c / 1e7, 2)))
+        .when(size >= 1e5, F.format_string("₹%.2fL", rounded(c / 1e5, 2)))
+        .when(c.isNotNull(), F.concat(F.lit("₹"), F.format_number(rounded(c, 0), 0)))
     )

@@ -250,6 +250,10 @@ def multi_sku_lines(lines: DataFrame, master: DataFrame) -> DataFrame:
         rounded(F.col("amount"), 2).alias("amount"))
 
 
+def top_multi_sku(rows: DataFrame, top: int = 1000) -> DataFrame:
+    return rows.orderBy(F.desc("product_count"), F.desc("amount"), "awb", "order_id").limit(top)
+
+
 def multi_sku_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(
         F.count("*").alias("multi_awbs"), rupees(F.sum(cents(F.col("amount")))).alias("spend"),
@@ -328,6 +332,16 @@ def dispute_rollup(checks: DataFrame, by: str) -> DataFrame:
         rounded(over(F.col("overcharge"), 1000000), 2).alias("est_overcharge"))
 
 
+def top_disputes(rows: DataFrame, top: int = 10000) -> DataFrame:
+    """Dispute lines by product, biggest excess first."""
+    return rows.orderBy("name", F.desc("excess_kg"), "awb", "carrier", "invoice_number",
+                        F.desc("est_overcharge"), "sku").limit(top)
+
+
+def top_dispute_products(checks: DataFrame, top: int = 200) -> DataFrame:
+    return dispute_rollup(checks, "product").orderBy(F.desc("est_overcharge"), "item").limit(top)
+
+
 def lane_cells(lines: DataFrame) -> DataFrame:
     """Average cost per (lane, carrier)."""
     on_lane = lines.where((F.col("pickup_pin") != "") & (F.col("drop_pin") != ""))
@@ -350,6 +364,10 @@ def lane_comparison(lines: DataFrame) -> DataFrame:
         rounded(F.when(high != 0, (high - low) / high * 100.0)).alias("save_pct"))
 
 
+def top_lanes(lanes: DataFrame, top: int = 400) -> DataFrame:
+    return lanes.orderBy(F.desc("shipments"), "pickup", "drop").limit(top)
+
+
 def cost_summary(lines: DataFrame) -> DataFrame:
     cat = F.coalesce(blank_to_null(F.col("category")), F.lit("Others"))
     cells = lines.groupBy("carrier", cat.alias("category"), sku_key().alias("item")).agg(*_sums())

@@ -22,27 +22,34 @@ RESTRICTED_SUMMARY = ["revenue", "delivered_value", "rto_value", "pending_value"
 
 
 def shipment_report(classified: DataFrame, filters: Filters | None = None,
-                    daily_orders: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All sections over one filtered input. Persist ``classified`` before running several."""
+                    daily_orders: DataFrame | None = None,
+                    only: list[str] | None = None) -> dict[str, DataFrame]:
+    """The report's sections over one filtered input, or just the ones in ``only``.
+
+    Before running several sections write ``classified`` out once (`cut_lineage`): each section
+    then scans only the columns it needs.
+    """
     rows = filter_shipments(classified, filters)
-    return {
-        "summary": R.summary(rows),
-        "carriers": K.by_carrier(rows),
-        "warehouses": K.by_warehouse(rows).orderBy(F.desc("n"), "pickup_pin").limit(S.TOP_WAREHOUSES),
-        "warehouse_accounts": K.by_warehouse_account(rows),
-        "destinations": K.by_destination(rows),
-        "lanes": K.by_lane(rows),
-        "status_matrix": K.status_matrix(rows),
-        "pendency_matrix": K.pendency_matrix(rows),
-        "tat_accounts": K.tat_matrix(rows),
-        "tat_warehouses": K.tat_matrix(rows, "pickup_pin"),
-        "payment": R.payment_performance(rows),
-        "tiers": R.tier_mix(rows),
-        "zones": R.zone_breakdown(rows),
-        "products": R.product_tree(rows),
-        "daily": R.daily_series(rows) if daily_orders is None else daily_orders,
-        "filters": R.filter_options(classified),
+    sections = {
+        "summary": lambda: R.summary(rows),
+        "carriers": lambda: K.by_carrier(rows),
+        "warehouses": lambda: K.by_warehouse(rows).orderBy(F.desc("n"), "pickup_pin")
+        .limit(S.TOP_WAREHOUSES),
+        "warehouse_accounts": lambda: K.by_warehouse_account(rows),
+        "destinations": lambda: K.by_destination(rows),
+        "lanes": lambda: K.by_lane(rows),
+        "status_matrix": lambda: K.status_matrix(rows),
+        "pendency_matrix": lambda: K.pendency_matrix(rows),
+        "tat_accounts": lambda: K.tat_matrix(rows),
+        "tat_warehouses": lambda: K.tat_matrix(rows, "pickup_pin"),
+        "payment": lambda: R.payment_performance(rows),
+        "tiers": lambda: R.tier_mix(rows),
+        "zones": lambda: R.zone_breakdown(rows),
+        "products": lambda: R.product_tree(rows),
+        "daily": lambda: R.daily_series(rows) if daily_orders is None else daily_orders,
+        "filters": lambda: R.filter_options(classified),
     }
+    return {name: build() for name, build in sections.items() if only is None or name in only}
 
 
 def public_report(report: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -52,38 +59,42 @@ def public_report(report: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return shown
 
 
-def cost_report(lines: DataFrame, shipments: DataFrame, master: DataFrame,
-                carrier: str | None = None) -> dict[str, DataFrame]:
-    """Invoice report: enrich the lines once, then roll them up. Persist ``lines`` if reused."""
-    chosen = I.one_carrier(lines, carrier)
-    rows = L.attach_shipments(L.enrich_from_master(chosen, master), shipments)
-    checks = I.weight_checks(rows, master)
-    recon = I.reconciliation(rows)
-    comparison = I.carrier_comparison(rows)
-    multi = I.multi_sku_lines(rows, master)
-    return {
-        "summary": I.cost_summary(rows),
-        "carriers": I.spend_by_carrier(rows),
-        "categories": I.spend_by_category(rows),
-        "category_skus": I.top_skus_by_category(rows),
-        "matrix": I.category_carrier_matrix(rows),
-        "skus": I.spend_by_sku(rows),
-        "months": I.months(rows),
-        "month_parts": I.month_parts(rows),
-        "reconciliation": recon,
-        "reconciliation_totals": I.reconciliation_totals(recon),
-        "comparison": comparison,
-        "comparison_totals": I.carrier_totals(comparison),
-        "carrier_month": I.carrier_month(rows),
-        "subcategories": I.spend_by_subcategory(rows),
-        "products": I.spend_by_product(rows),
-        "multi_sku": multi.orderBy(F.desc("product_count"), F.desc("amount"), "awb", "order_id")
-        .limit(1000),
-        "disputes": I.weight_disputes(checks),
-        "disputes_by_invoice": I.dispute_rollup(checks, "invoice"),
-        "lanes": I.lane_comparison(rows),
-        "all_carriers": I.spend_by_carrier(lines).select("carrier"),
+def enrich_lines(lines: DataFrame, shipments: DataFrame, master: DataFrame) -> DataFrame:
+    """Lines with master categories and the product, value and lane of their shipment."""
+    return L.attach_shipments(L.enrich_from_master(lines, master), shipments)
+
+
+def cost_report(rows: DataFrame, master: DataFrame, carrier: str | None = None,
+                only: list[str] | None = None) -> dict[str, DataFrame]:
+    """The cost report over enriched lines (`enrich_lines`), or the sections in ``only``."""
+    chosen = I.one_carrier(rows, carrier)
+    sections = {
+        "summary": lambda: I.cost_summary(chosen),
+        "carriers": lambda: I.spend_by_carrier(chosen),
+        "categories": lambda: I.spend_by_category(chosen),
+        "category_skus": lambda: I.top_skus_by_category(chosen),
+        "matrix": lambda: I.category_carrier_matrix(chosen),
+        "skus": lambda: I.spend_by_sku(chosen),
+        "months": lambda: I.months(chosen),
+        "month_parts": lambda: I.month_parts(chosen),
+        "reconciliation": lambda: I.reconciliation(chosen),
+        "reconciliation_totals": lambda: I.reconciliation_totals(I.reconciliation(chosen)),
+        "comparison": lambda: I.carrier_comparison(chosen),
+        "comparison_totals": lambda: I.carrier_totals(I.carrier_comparison(chosen)),
+        "carrier_month": lambda: I.carrier_month(chosen),
+        "subcategories": lambda: I.spend_by_subcategory(chosen),
+        "products": lambda: I.spend_by_product(chosen),
+        "multi_sku": lambda: I.top_multi_sku(I.multi_sku_lines(chosen, master)),
+        "disputes": lambda: I.top_disputes(I.weight_disputes(I.weight_checks(chosen, master))),
+        "disputes_by_invoice": lambda: I.dispute_rollup(I.weight_checks(chosen, master), "invoice"),
+        "disputes_by_subcategory": lambda: I.dispute_rollup(
+            I.weight_checks(chosen, master), "subcategory"),
+        "disputes_by_product": lambda: I.top_dispute_products(I.weight_checks(chosen, master)),
+        "dispute_totals": lambda: I.dispute_rollup(I.weight_checks(chosen, master), "all"),
+        "lanes": lambda: I.top_lanes(I.lane_comparison(chosen)),
+        "all_carriers": lambda: I.spend_by_carrier(rows).select("carrier"),
     }
+    return {name: build() for name, build in sections.items() if only is None or name in only}
 
 
 def _component(value: Column, worst: float, best: float) -> Column:
