@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelsight.functions.classify import add_invoice_category
@@ -17,6 +17,7 @@ from parcelsight.functions.times import (
 from parcelsight.rules.layouts import (
     AWB_HEADERS, CARRIER_BY_FILE_TOKEN, GENERIC_LAYOUT, INVOICE_LAYOUTS, Layout,
     MASTER_NAME_HEADERS, MASTER_SKU_HEADERS, MASTER_WEIGHT_HEADERS)
+from parcelsight.session import sql_literal
 from parcelsight.sources.cells import cell, file_of, folder_of, norm_cells, position
 
 FIELDS = ["amount", "ex_gst", "awb", "awb_2", "order_id", "weight", "zone", "sku", "name", "label",
@@ -69,11 +70,16 @@ def _is_header(layout: Layout, names: Column) -> Column:
     return reduce(and_, tests) & (F.col("row_no") < layout.scan)
 
 
+def _position_sql(names: list[str]) -> str:
+    tries = ", ".join(f"nullif(array_position(names, {sql_literal(n)}), 0)" for n in names)
+    return f"CAST(coalesce({tries}) - 1 AS INT)"
+
+
 def header_rows(cells: DataFrame, layouts: list[Layout]) -> DataFrame:
-    """Candidate (file, layout) pairs with the position of every field.
+    """Candidate (file, layout) pairs with the position of every field and the facts of the file.
 
-    Only the first rows of each file are looked at. A file that fits several layouts keeps
-    all of them until `parse_lines` sees which one yields lines.
+    Only the first rows of each file are looked at. What depends on the file alone (month and
+    carrier in its name, invoice number) is worked out here, once per file.
     """
     head = cells.where(F.col("row_no") < 15).withColumn("names", norm_cells(F.col("cells")))
     fits = F.array_compact(F.array(*[F.when(_is_header(l, F.col("names")), F.lit(i))
@@ -83,17 +89,18 @@ def header_rows(cells: DataFrame, layouts: list[Layout]) -> DataFrame:
         "path", "layout", F.col("h.row_no").alias("header_row"), F.col("h.names").alias("names"))
     positions = []
     for f in FIELDS:
-        by_layout = [(i, l.fields[f]) for i, l in enumerate(layouts) if f in l.fields]
-        if not by_layout:
-            positions.append(F.lit(None).cast("int").alias(f"_{f}"))
-            continue
-        expr = None
-        for i, names in by_layout:
-            branch = position(F.col("names"), names)
-            expr = F.when(F.col("layout") == i, branch) if expr is None else \
-                expr.when(F.col("layout") == i, branch)
-        positions.append(expr.alias(f"_{f}"))
-    return one.select("path", "layout", "header_row", *positions)
+        branches = " ".join(f"WHEN {i} THEN {_position_sql(l.fields[f])}"
+                            for i, l in enumerate(layouts) if f in l.fields)
+        positions.append(F.expr(f"CASE layout {branches} END").alias(f"_{f}"))
+    stem = file_of(F.col("path"))
+    key, label = month_of_name(stem)
+    numbered = F.coalesce(blank_to_null(F.regexp_extract(stem, r"#\s*([A-Za-z0-9][\w-]*)", 1)),
+                          blank_to_null(F.regexp_extract(stem, r"([A-Za-z]{2,}\d[\w-]*)", 1)), stem)
+    files = Window.partitionBy("path")  # a handful of candidate layouts per file
+    return one.select(
+        "path", "layout", "header_row", *positions, stem.alias("_stem"), numbered.alias("_numbered"),
+        key.alias("_name_key"), label.alias("_name_label"), carrier_from_file(stem).alias("_file_carrier"),
+        F.count("*").over(files).alias("_choices"))
 
 
 def carrier_from_file(name: Column) -> Column:
@@ -114,120 +121,133 @@ def file_month(path: Column) -> tuple[Column, Column]:
             F.when(dated, folder_label).otherwise(name_label))
 
 
-def _line_values(rows: DataFrame, layouts: list[Layout]) -> DataFrame:
-    """Cells of every field, unwrapped and typed, plus the layout's settings as columns."""
-    ix = F.col("layout")
+_FILE_FACTS = ["_stem", "_numbered", "_name_key", "_name_label", "_file_carrier"]
+
 
+def _settings(layouts: list[Layout]):
     def setting(attribute: str) -> Column:
-        return pick(ix, [getattr(l, attribute) for l in layouts])
+        return pick(F.col("layout"), [getattr(l, attribute) for l in layouts])
+    return setting
+
 
-    wrapped = setting("formulas")
-    raw = rows.select("path", "row_no", "layout", *[
+def _texts(rows: DataFrame, layouts: list[Layout], fields: list[str], *keep: str) -> DataFrame:
+    """The chosen fields as trimmed text, spreadsheet formulas unwrapped."""
+    wrapped = _settings(layouts)("formulas")
+    return rows.select("path", "layout", *keep, *[
         F.when(wrapped, unwrap_formula(cell(f"_{f}"))).otherwise(text(cell(f"_{f}"))).alias(f)
-        for f in FIELDS])
-    mult = 1.0 + setting("gst_rate") / 100.0
-    amount, ex = to_money(F.col("amount")), to_money(F.col("ex_gst"))
-    awb = norm_awb(F.col("awb"))
-    weight = to_money(F.col("weight"))
-    return raw.withColumns({
-        "raw_amount": amount,
-        "awb": F.when(awb != "", awb).otherwise(norm_awb(F.col("awb_2"))),
-        "gst": setting("gst"), "needs": setting("needs"), "invoice_rule": setting("invoice"),
-        "period_rule": setting("period"), "category_rule": setting("category"),
-        "name": F.when(setting("bracketed"), braced_name(F.col("name")))
-        .otherwise(clean_name(F.regexp_replace("name", ",+$", ""))),
-        "sku": F.when(setting("bracketed"), bracketed_skus(F.col("name"))).otherwise(F.col("sku")),
-        "weight_kg": F.when(setting("grams"), F.when(weight != 0, weight / 1000.0)).otherwise(weight),
-        "zone": title_case("zone"), "direction": F.upper("direction"),
-        "order_id": F.when(setting("bracketed"), F.trim(F.regexp_replace(F.regexp_replace(
-            "order_id", "^#+", ""), "_.*$", ""))).otherwise(F.col("order_id")),
-        "carrier": F.coalesce(
-            F.when(setting("carrier_column"), blank_to_null(first_word(F.col("courier")))),
-            setting("carrier"), carrier_from_file(file_of(F.col("path")))),
-        "amount": F.when(setting("gst") == "add", rounded(amount * mult, 2))
-        .otherwise(F.coalesce(amount, F.lit(0.0))),
-        "amount_ex_gst": F.when(setting("gst") == "add", rounded(amount, 2))
-        .when(setting("gst") == "given", F.coalesce(ex, F.lit(0.0)))
-        .when(setting("gst") == "given_or_strip", F.coalesce(ex, rounded(amount / mult, 2)))
-        .when(setting("gst") == "strip", rounded(amount / mult, 2)),
-        "day": invoice_date(F.col("date")),
-        "billed_day": invoice_date(F.col("invoice_date")),
-    })
+        for f in fields])
 
 
-def _is_line() -> Column:
-    amount, awb = F.col("raw_amount").isNotNull(), F.col("awb") != ""
+def _is_line(layouts: list[Layout]) -> Column:
+    """Whether a row is a billed line by its layout's rule; banners and totals are not."""
+    needs = _settings(layouts)("needs")
+    amount = to_money(F.col("amount")).isNotNull()
+    awb = (F.col("awb") != "") | (F.col("awb_2") != "")
     invoice, order = F.col("invoice") != "", F.col("order_id") != ""
     return (
-        F.when(F.col("needs") == "awb", awb)
-        .when(F.col("needs") == "invoice+any", invoice & (amount | awb))
-        .when(F.col("needs") == "awb+amount+invoice", awb & amount & invoice)
-        .when(F.col("needs") == "id+amount", amount & (awb | order))
+        F.when(needs == "awb", awb)
+        .when(needs == "invoice+any", invoice & (amount | awb))
+        .when(needs == "awb+amount+invoice", awb & amount & invoice)
+        .when(needs == "id+amount", amount & (awb | order))
         .otherwise(awb & amount)
     )
 
 
+def _file_facts(rows: DataFrame, layouts: list[Layout]) -> DataFrame:
+    """Per file: the first layout that yields lines, and the commonest month of its dates.
+
+    Only files that fit several layouts, or carry no month where their layout needs one, take
+    part; everything is counted before it is shuffled.
+    """
+    by_file = _settings(layouts)("period") == "file"
+    asked = rows.where((F.col("_choices") > 1) | (by_file & F.col("_name_key").startswith("zzzz")))
+    marked = _texts(asked, layouts, ["amount", "awb", "awb_2", "order_id", "invoice", "date"]).select(
+        "path", "layout", month_key(invoice_date(F.col("date"))).alias("m"),
+        _is_line(layouts).alias("line"))
+    months = marked.groupBy("path", "layout", "m").agg(
+        F.count_if("line").alias("lines"), F.count("*").alias("n"))
+    per_layout = months.groupBy("path", "layout").agg(
+        F.sum("lines").alias("lines"),
+        F.max(F.when(F.col("m") != "", F.struct("n", "m"))).alias("top"))
+    return per_layout.where(F.col("lines") > 0).groupBy("path").agg(
+        F.min(F.struct("layout", "top")).alias("w")).select(
+        "path", F.col("w.layout").alias("_winner"), F.col("w.top.m").alias("_modal"))
+
+
 def parse_lines(cells: DataFrame, configured: list[Layout] = ()) -> DataFrame:
     """Invoice lines of every recognised file, with file, layout and carrier.
 
     Header positions, one row per file and layout, join the data rows; AQE broadcasts them when
-    they are small and splits a dominating file otherwise. Files that fit one layout are done
-    after that join; only files that fit several are grouped to find the first layout with lines.
+    they are small and splits a dominating file otherwise.
     """
     layouts = all_layouts(configured)
-    heads = header_rows(cells, layouts)
-    choices = heads.groupBy("path").agg(F.count("*").alias("_choices"))
-    rows = cells.join(heads.join(choices, "path"), "path").where(
+    rows = cells.join(header_rows(cells, layouts), "path").where(
         F.coalesce("row_no", F.lit(1 << 40)) > F.col("header_row"))
-    ambiguous = rows.where(F.col("_choices") > 1)
-    winners = _line_values(ambiguous, layouts).where(_is_line()).groupBy("path").agg(
-        F.min("layout").alias("_winner"))
-    chosen = rows.join(winners, "path", "left").where(
+    chosen = rows.join(_file_facts(rows, layouts), "path", "left").where(
         F.coalesce("_winner", F.col("layout")) == F.col("layout"))
-    lines = _line_values(chosen, layouts).where(_is_line())
-    return _finish(lines, layouts)
+    lines = _texts(chosen, layouts, FIELDS, *_FILE_FACTS, "_modal").where(_is_line(layouts))
+    return _typed_lines(lines, layouts)
 
 
-def _finish(lines: DataFrame, layouts: list[Layout]) -> DataFrame:
-    """Service month, invoice number and category by the layout's rules."""
-    name_key, name_label = month_of_name(file_of(F.col("path")))
-    undated = lines.where((F.col("period_rule") == "file") & F.col("day").isNotNull())
-    modal = undated.groupBy("path", month_key(F.col("day")).alias("k")).agg(F.count("*").alias("n")) \
-        .groupBy("path").agg(F.max_by("k", F.struct("n", "k")).alias("_modal"))
-    dated = lines.withColumns({"_nk": name_key, "_nl": name_label}).join(modal, "path", "left")
-    modal_day = F.to_date(F.concat("_modal", F.lit("-01")))
-    use_modal = F.col("_nk").startswith("zzzz") & F.col("_modal").isNotNull()
-    swift = F.lower("carrier").startswith("swift")
-    by_file = F.col("period_rule") == "file"
-    by_day = (F.col("period_rule") == "date") | ((F.col("period_rule") == "swift") & swift)
-    staged = dated.withColumns({
-        "service_month_key": F.when(by_file, F.when(use_modal, F.col("_modal")).otherwise(F.col("_nk")))
-        .when(by_day, month_key(F.col("day"))).otherwise(""),
-        "service_month": F.when(by_file, F.when(use_modal, month_label(modal_day))
-                                .otherwise(F.col("_nl")))
-        .when(by_day, month_label(F.col("day"))).otherwise(""),
-        "invoice_date": F.when(by_day, date_label(F.coalesce("billed_day", "day"))).otherwise(""),
+def _typed_lines(lines: DataFrame, layouts: list[Layout]) -> DataFrame:
+    """Typed line values, GST split, service month, invoice number and category."""
+    setting = _settings(layouts)
+    gst, period, rule = setting("gst"), setting("period"), setting("invoice")
+    mult = 1.0 + setting("gst_rate") / 100.0
+    bracketed = setting("bracketed")
+    typed = lines.withColumns({
+        "_amount": to_money(F.col("amount")), "_ex": to_money(F.col("ex_gst")),
+        "_weight": to_money(F.col("weight")), "_day": invoice_date(F.col("date")),
+        "_billed": invoice_date(F.col("invoice_date")), "_awb": norm_awb(F.col("awb")),
+        "name": F.when(bracketed, braced_name(F.col("name")))
+        .otherwise(clean_name(F.regexp_replace("name", ",+$", ""))),
+        "sku": F.when(bracketed, bracketed_skus(F.col("name"))).otherwise(F.col("sku")),
+        "order_id": F.when(bracketed, F.trim(F.regexp_replace(F.regexp_replace(
+            "order_id", "^#+", ""), "_.*$", ""))).otherwise(F.col("order_id")),
+        "carrier": F.coalesce(
+            F.when(setting("carrier_column"), blank_to_null(first_word(F.col("courier")))),
+            setting("carrier"), F.col("_file_carrier")),
     })
-    stem = file_of(F.col("path"))
+    undated = F.col("_name_key").startswith("zzzz") & F.col("_modal").isNotNull()
+    modal_day = F.to_date(F.concat("_modal", F.lit("-01")))
+    by_file = period == "file"
+    by_day = (period == "date") | ((period == "swift") & F.lower("carrier").startswith("swift"))
     tier = F.coalesce(blank_to_null(F.trim(F.regexp_replace("tier", r"(?i)^my\s*\w+\s*-\s*", ""))),
                       F.lit("Prime"))
-    numbered = F.coalesce(blank_to_null(F.regexp_extract(stem, r"#\s*([A-Za-z0-9][\w-]*)", 1)),
-                          blank_to_null(F.regexp_extract(stem, r"([A-Za-z]{2,}\d[\w-]*)", 1)), stem)
-    staged = staged.withColumn("invoice_number", (
-        F.when(F.col("invoice_rule") == "none", F.lit(""))
-        .when(F.col("invoice_rule") == "tier", F.trim(F.concat_ws(" ", tier, "service_month")))
-        .when(F.col("invoice_rule") == "period", F.trim(F.concat_ws(" ", "carrier", "service_month")))
-        .when(F.col("invoice_rule") == "file", numbered)
-        .when(F.col("invoice_rule") == "optional", F.col("invoice"))
-        .otherwise(F.coalesce(blank_to_null(F.col("invoice")), stem))))
-    label = F.when(F.col("category_rule") == "label", F.col("label")) \
-        .when(F.col("category_rule") == "label_is_name", F.col("name")).otherwise("")
-    named = add_invoice_category(staged, label, F.col("name"), "_category")
+    dated = typed.withColumns({
+        "service_month_key": F.when(by_file, F.when(undated, F.col("_modal"))
+                                    .otherwise(F.col("_name_key")))
+        .when(by_day, month_key(F.col("_day"))).otherwise(""),
+        "service_month": F.when(by_file, F.when(undated, month_label(modal_day))
+                                .otherwise(F.col("_name_label")))
+        .when(by_day, month_label(F.col("_day"))).otherwise(""),
+    })
+    out = dated.select(
+        "path", "layout", "carrier", F.when(F.col("_awb") != "", F.col("_awb"))
+        .otherwise(norm_awb(F.col("awb_2"))).alias("awb"), "order_id", "sku", "name", "label",
+        F.when(setting("grams"), F.when(F.col("_weight") != 0, F.col("_weight") / 1000.0))
+        .otherwise(F.col("_weight")).alias("weight_kg"), title_case("zone").alias("zone"),
+        F.when(gst == "add", rounded(F.col("_amount") * mult, 2))
+        .otherwise(F.coalesce("_amount", F.lit(0.0))).alias("amount"),
+        F.when(gst == "add", rounded(F.col("_amount"), 2))
+        .when(gst == "given", F.coalesce("_ex", F.lit(0.0)))
+        .when(gst == "given_or_strip", F.coalesce("_ex", rounded(F.col("_amount") / mult, 2)))
+        .when(gst == "strip", rounded(F.col("_amount") / mult, 2)).alias("amount_ex_gst"),
+        F.when(rule == "none", F.lit(""))
+        .when(rule == "tier", F.trim(F.concat_ws(" ", tier, "service_month")))
+        .when(rule == "period", F.trim(F.concat_ws(" ", "carrier", "service_month")))
+        .when(rule == "file", F.col("_numbered")).when(rule == "optional", F.col("invoice"))
+        .otherwise(F.coalesce(blank_to_null(F.col("invoice")), F.col("_stem"))).alias("invoice_number"),
+        F.when(by_day, date_label(F.coalesce("_billed", "_day"))).otherwise("").alias("invoice_date"),
+        "service_month", "service_month_key", F.upper("direction").alias("direction"))
+    category = setting("category")
+    label = F.when(category == "label", F.col("label")) \
+        .when(category == "label_is_name", F.col("name")).otherwise("")
+    named = add_invoice_category(out, label, F.col("name"), "_category")
     return named.select(
-        "path", pick(F.col("layout"), [l.name for l in layouts]).alias("layout"), "carrier", "awb",
-        "order_id", "sku", F.col("name").alias("sku_name"), F.col("name").alias("product"),
-        F.when(F.col("category_rule") == "others", F.lit("Others"))
-        .otherwise(F.col("_category")).alias("category"),
+        "path", setting("name").alias("layout"), "carrier", "awb", "order_id", "sku",
+        F.col("name").alias("sku_name"), F.col("name").alias("product"),
+        F.when(category == "others", F.lit("Others")).otherwise(F.col("_category")).alias("category"),
         "weight_kg", "zone", "amount", "amount_ex_gst", F.lit(1).cast("bigint").alias("shipments"),
         "invoice_number", "invoice_date", "service_month", "service_month_key", "direction")
 
