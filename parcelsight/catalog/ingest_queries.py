@@ -221,10 +221,11 @@ SELECT '/in/safexpress/' || m || '/data.csv' AS path, 'Safexpress' AS carrier, c
 FROM bill GROUP BY m"""))
 def inv_file_summary(i):
     lines = SI.parse_lines(rendered(i, "safexpress"))
-    return lines.groupBy("path").agg(
+    files = lines.groupBy("path").agg(
         F.min("carrier").alias("carrier"), F.count("*").alias("lines"),
-        rounded(to_rupees(F.sum(cents(F.col("amount"))))).alias("spend")) \
-        .withColumn("month", SI.file_month(F.col("path"))[1])
+        rounded(to_rupees(F.sum(cents(F.col("amount"))))).alias("spend"))
+    months = SI.file_months(files).select("path", F.col("file_label").alias("month"))
+    return files.join(months, "path")
 
 
 def _mixed(i: Inputs) -> DataFrame:

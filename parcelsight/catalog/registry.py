@@ -14,7 +14,7 @@ from parcelsight.operators import invoices as I
 from parcelsight.operators import lookups as L
 from parcelsight.operators import shipments as SH
 from parcelsight.operators import sla
-from parcelsight.sources.invoices import file_month
+from parcelsight.sources.invoices import file_months
 
 CATALOG: dict[str, tuple[Callable, str | None]] = {}
 
@@ -53,8 +53,10 @@ class Inputs:
     @cached_property
     def lines(self) -> DataFrame:
         """Invoice lines with their billing month."""
-        key, label = file_month(F.col("path"))
-        return I.tag_period(self.fx.invoice_raw, key, label).drop("path")
+        raw = self.fx.invoice_raw
+        dated = raw.join(file_months(raw), "path", "left")
+        return I.tag_period(dated, F.col("file_month"), F.col("file_label")).drop(
+            "path", "file_month", "file_label")
 
     @cached_property
     def enriched(self) -> DataFrame:

@@ -200,10 +200,11 @@ def fn_month_from_name(i):
         F.date_format(ts, "'ER 'MM.yyyy'.xlsx'").alias("b"),
         F.concat(F.lit("Prime-"), F.date_format(ts, "MMM''yy"), F.lit(".xlsb")).alias("c"),
         F.concat(F.lit("Summary "), F.date_format(ts, "MMMM")).alias("d")).distinct()
-    return names.select(
-        T.month_of_name(F.col("a"))[0].alias("iso"), T.month_of_name(F.col("b"))[0].alias("month_first"),
-        T.month_of_name(F.col("c"))[0].alias("named"), T.month_of_name(F.col("d"))[0].alias("bare"),
-        T.month_of_name(F.col("c"))[1].alias("label")).distinct()
+    for c in "abcd":
+        names = T.add_month_of_name(names, c, f"{c}_key", f"{c}_label")
+    return names.select(F.col("a_key").alias("iso"), F.col("b_key").alias("month_first"),
+                        F.col("c_key").alias("named"), F.col("d_key").alias("bare"),
+                        F.col("c_label").alias("label")).distinct()
 
 
 @query("fn_split_skus", statement("""

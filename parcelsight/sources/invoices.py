@@ -13,7 +13,7 @@ from parcelsight.functions.scalars import (
     blank_to_null, braced_name, bracketed_skus, clean_name, first_word, norm_awb, norm_header, pick,
     rounded, text, title_case, to_money, unwrap_formula)
 from parcelsight.functions.times import (
-    date_label, invoice_date, month_key, month_label, month_of_name)
+    add_month_of_name, date_label, invoice_date, month_key, month_label)
 from parcelsight.rules.layouts import (
     AWB_HEADERS, CARRIER_BY_FILE_TOKEN, GENERIC_LAYOUT, INVOICE_LAYOUTS, Layout,
     MASTER_NAME_HEADERS, MASTER_SKU_HEADERS, MASTER_WEIGHT_HEADERS)
@@ -93,13 +93,13 @@ def header_rows(cells: DataFrame, layouts: list[Layout]) -> DataFrame:
                             for i, l in enumerate(layouts) if f in l.fields)
         positions.append(F.expr(f"CASE layout {branches} END").alias(f"_{f}"))
     stem = file_of(F.col("path"))
-    key, label = month_of_name(stem)
     numbered = F.coalesce(blank_to_null(F.regexp_extract(stem, r"#\s*([A-Za-z0-9][\w-]*)", 1)),
                           blank_to_null(F.regexp_extract(stem, r"([A-Za-z]{2,}\d[\w-]*)", 1)), stem)
+    one = add_month_of_name(one.withColumn("_stem", stem), "_stem", "_name_key", "_name_label")
     files = Window.partitionBy("path")  # a handful of candidate layouts per file
     return one.select(
-        "path", "layout", "header_row", *positions, stem.alias("_stem"), numbered.alias("_numbered"),
-        key.alias("_name_key"), label.alias("_name_label"), carrier_from_file(stem).alias("_file_carrier"),
+        "path", "layout", "header_row", *positions, "_stem", numbered.alias("_numbered"),
+        "_name_key", "_name_label", carrier_from_file(stem).alias("_file_carrier"),
         F.count("*").over(files).alias("_choices"))
 
 
@@ -112,13 +112,14 @@ def carrier_from_file(name: Column) -> Column:
     return out.otherwise("Unknown carrier")
 
 
-def file_month(path: Column) -> tuple[Column, Column]:
-    """Billing month of a file: from its folder, else from its name."""
-    folder_key, folder_label = month_of_name(folder_of(path))
-    name_key, name_label = month_of_name(file_of(path))
-    dated = ~folder_key.startswith("zzzz")
-    return (F.when(dated, folder_key).otherwise(name_key),
-            F.when(dated, folder_label).otherwise(name_label))
+def file_months(rows: DataFrame) -> DataFrame:
+    """Billing month per file: from its folder, else from its name; one row per path."""
+    files = rows.select("path").distinct().withColumns(
+        {"_folder": folder_of(F.col("path")), "_file": file_of(F.col("path"))})
+    named = add_month_of_name(add_month_of_name(files, "_folder", "_fk", "_fl"), "_file", "_nk", "_nl")
+    dated = ~F.col("_fk").startswith("zzzz")
+    return named.select("path", F.when(dated, F.col("_fk")).otherwise(F.col("_nk")).alias("file_month"),
+                        F.when(dated, F.col("_fl")).otherwise(F.col("_nl")).alias("file_label"))
 
 
 _FILE_FACTS = ["_stem", "_numbered", "_name_key", "_name_label", "_file_carrier"]
@@ -288,9 +289,9 @@ def route_files(cells: DataFrame, configured: list[Layout] = ()) -> DataFrame:
 
 def month_buckets(cells: DataFrame) -> DataFrame:
     """Months present among the files with their file counts; dated ones newest first."""
-    key, label = file_month(F.col("path"))
-    files = cells.select("path").distinct().select("path", key.alias("month"), label.alias("label"))
-    buckets = files.groupBy("month", "label").agg(F.count("*").alias("files"))
+    buckets = file_months(cells).groupBy(F.col("file_month").alias("month"),
+                                         F.col("file_label").alias("label")).agg(
+        F.count("*").alias("files"))
     return sort_months(buckets)
 
 
@@ -300,8 +301,9 @@ def sort_months(buckets: DataFrame, month: str = "month") -> DataFrame:
 
 
 def of_month(cells: DataFrame, month: str) -> DataFrame:
-    """Rows of the files billed in one month; reduces to a filter on the file path."""
-    return cells.where(file_month(F.col("path"))[0] == month)
+    """Rows of the files billed in one month; the month is worked out once per file."""
+    wanted = file_months(cells).where(F.col("file_month") == month).select("path")
+    return cells.join(wanted, "path", "left_semi")
 
 
 def config_errors(configs: DataFrame) -> DataFrame:
