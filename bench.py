@@ -1,6 +1,6 @@
 """Headline queries on one data folder; prints one JSON line.
 
-Each query runs once to warm up and then a few times; the median is reported. Results are
+Each query runs once to warm up and then BENCH_RUNS times; the median is reported. Results are
 written to the no-op sink, so every row and column is computed.
 """
 
@@ -16,12 +16,10 @@ from parcelsight.catalog.registry import run
 from parcelsight.session import local_session
 
 HEADLINE = [
-    "agg_carrier", "agg_warehouse_account", "agg_lane", "agg_payment_perf", "agg_daily",
-    "agg_product_tree", "sla_classify", "agg_tat_matrix", "agg_orders_per_day", "join_o2s",
-    "join_idset_pushdown", "inv_spend_carrier", "inv_reconciliation", "inv_product",
-    "inv_weight_dispute", "inv_lane_comparison",
+    "agg_carrier", "agg_payment_perf", "agg_daily", "sla_classify", "agg_orders_per_day", "join_o2s",
+    "inv_spend_carrier", "inv_reconciliation",
 ]
-RUNS = int(os.environ.get("BENCH_RUNS", "2"))
+RUNS = int(os.environ.get("BENCH_RUNS", "1"))
 
 
 def timed(name: str, spark, folder: str) -> float:
