@@ -47,3 +47,37 @@ SELECT d.doc_id, d.n AS n_shingles, coalesce(c.component_id, d.doc_id) AS compon
        coalesce(c.component_id, d.doc_id) = d.doc_id AS kept
 FROM hashed d LEFT JOIN classes k ON d.h = k.h AND d.n > 0 LEFT JOIN component c ON c.node = k.node
 """
+
+# Payloads are compared as they are; revisits point at the largest page_id.
+ORACLES["op7_warc"] = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n
+  FROM pages),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> first THEN first END AS refers_to
+FROM w
+"""
+
+ORACLES["op3_vector_dedup"] = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = list_count(embedding)
+    AND len(list_filter(embedding, lambda a: NOT isfinite(a))) = 0
+    AND len(list_filter(embedding, lambda a: a <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+    AND list_cosine_similarity(a.x, b.x) >= 0.93),
+reach(node, seen) AS (
+  SELECT a, b FROM links
+  UNION
+  SELECT r.node, e.b FROM reach r JOIN links e ON e.a = r.seen),
+component AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+degree AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links,
+       least(e.vec_id, coalesce(component_id, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(component_id, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN component c ON c.node = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id
+"""

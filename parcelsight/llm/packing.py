@@ -42,7 +42,7 @@ class WordEncoder:
         words = [_BREAK.split(t) for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = list({w for ws in words for w in ws} - self.known.keys())
+        new = list({w for ws in words for w in ws if w not in self.known})
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False),
                         strict=True):
             self.known[w] = np.asarray(e.ids, "<u4").tobytes()
