@@ -25,7 +25,8 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 SIZE = len(ALPHABET) + 1  # 0 stands for every other character, a token's start and end
 #: Shortest token that the models are asked about, and the mean log-ratio that makes a secret.
-MIN_TOKEN, MIN_RATIO = 20, 1.0
+MIN_TOKEN, MIN_RATIO = 20, 4.5
+BACK_OFF = 100.0
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_TOKEN)
 MASK = "[SECRET]"
 
@@ -100,11 +101,13 @@ def train(docs: DataFrame, text: str = "text") -> SecretModel:
     if not random.any():
         return SecretModel(None)
 
-    def log_p(c):  # a uniform share of one in each row keeps unseen pairs possible
-        c = c + 1.0
-        return np.log(c / c.sum(axis=1, keepdims=True))
+    def backed_off(c):  # transitions seldom seen fall back on how often the character occurs
+        single = (c.sum(axis=0) + 0.5) / (c.sum() + 0.5 * SIZE)
+        return (c + BACK_OFF * single) / (c.sum(axis=1, keepdims=True) + BACK_OFF)
 
-    return SecretModel((log_p(random) - log_p(ordinary)).reshape(-1))
+    # half of the random strings are taken to be uniform over the alphabet, whatever the labels
+    return SecretModel((np.log(0.5 * backed_off(random) + 0.5 / SIZE)
+                        - np.log(backed_off(ordinary))).reshape(-1))
 
 
 def _listed(spans: list[tuple[int, int, int]]) -> str:
