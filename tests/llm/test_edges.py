@@ -169,7 +169,7 @@ def test_secrets_by_model(spark):
     texts = [f"é {plain} password={hexed(18)} {plain}" for _ in range(80)]
     texts += [f"{plain} {mixed} {plain}", plain * 20, "AKIA" + "B" * 16, None]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    model = secret_scan.train(frame)
+    model = secret_scan.train(frame.where("doc_id <> 80"))
     got = {r["doc_id"]: r for r in secret_scan.scan(frame, model).collect()}
     at = texts[80].index(mixed)
     assert got[80]["spans"] == f"markov:{at}:{at + 40}" and got[81]["spans"] == ""
