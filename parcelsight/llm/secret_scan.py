@@ -25,7 +25,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 SIZE = len(ALPHABET) + 1  # 0 stands for every other character, a token's start and end
 #: Shortest token that the models are asked about, and the mean log-ratio that makes a secret.
-MIN_TOKEN, MIN_RATIO = 20, 4.5
+MIN_TOKEN, MIN_RATIO = 20, 4.0
 BACK_OFF = 100.0
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_TOKEN)
 MASK = "[SECRET]"

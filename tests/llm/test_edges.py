@@ -167,7 +167,7 @@ def test_secrets_by_model(spark):
                     for _ in range(40))
     plain = "the quick brown foxes jumped over the lazy dogs internationalisation_of_everything "
     texts = [f"é {plain} password={hexed(18)} {plain}" for _ in range(80)]
-    texts += [f"{plain} {mixed} {plain}", plain * 20, "AKIA" + "B" * 16, None]
+    texts += [f"{plain} {mixed} {plain}", plain * 2000, "AKIA" + "B" * 16, None]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     model = secret_scan.train(frame.where("doc_id <> 80"))
     got = {r["doc_id"]: r for r in secret_scan.scan(frame, model).collect()}
