@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelsight.llm.shared import bounded_batches
+
 #: Code points of Unicode's White_Space property.
 WHITE_SPACE = [
     *range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
@@ -224,5 +226,6 @@ def digests(docs: DataFrame, ranks: str, doc_id: str = "doc_id", text: str = "te
                              hashlib.sha256(coder.decode(ids)).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).alias("doc_id"), run(text).alias("coded")).select(
         "doc_id", "coded.*")

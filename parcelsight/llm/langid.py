@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelsight.llm.shared import fresh, held_out, written
+from parcelsight.llm.shared import bounded_batches, fresh, held_out, written
 
 BUCKETS = 1 << 15
 #: Documents of each language that the weights are fitted on, at most about that many.
@@ -141,6 +141,7 @@ def _frequencies(rows: DataFrame, text: str) -> tuple[np.ndarray, int]:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"
           ) -> LanguageModel:
     """A model learned from the texts with a language outside the held-out fifth."""
+    bounded_batches(docs.sparkSession)
     known = docs.where(F.col(lang).isNotNull() & ~held_out(F.col(doc_id)))
     sizes = {r[0]: r["count"] for r in known.groupBy(F.col(lang).alias("l")).count().collect()}
     languages = sorted(sizes)
@@ -201,6 +202,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text"):
     """A column of struct(lang_pred, score) for every whole text of ``docs``."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of a few languages
 
     @F.pandas_udf("lang_pred string, score double")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelsight.llm.shared import held_out, written
+from parcelsight.llm.shared import bounded_batches, held_out, written
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 12_000
@@ -161,6 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     Labels other than 0 and 1 and those of the held-out fifth are never read. Documents labelled
     several times count once with each label. Without labels every score is one half.
     """
+    bounded_batches(docs.sparkSession)
     known = (
         labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
         .select(F.col("doc_id").alias("labelled"), F.col("quality").cast("double").alias("y"),

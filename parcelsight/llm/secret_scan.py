@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelsight.llm.shared import bounded_batches
+
 KINDS = ("assign", "access", "hex", "markov")
 _ASSIGN = re.compile(
     r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -93,6 +95,7 @@ def train(docs: DataFrame, text: str = "text") -> SecretModel:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"at": at, "n": total[at]})
 
+    bounded_batches(docs.sparkSession)
     counts = np.zeros(2 * SIZE * SIZE)
     parts = docs.select(text).mapInPandas(partial, "at long, n long")
     for r in parts.groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most 2 * SIZE^2 rows

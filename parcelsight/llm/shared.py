@@ -53,3 +53,48 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of documents that no classifier learns from (a null id: true)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+#: Bits of the filter of ``maybe_in``; so its broadcast takes 16 MB at most, whatever the input.
+FILTER_BITS = 1 << 27
+_BYTES = 4096  # of a row of the filter, as Spark's bitmap functions make it
+
+
+def maybe_in(rows: DataFrame, key: str, ids: DataFrame, id_column: str, flag: str) -> DataFrame:
+    """``rows`` with a column ``flag``: true wherever the key is among ``ids``, and seldom else.
+
+    A bitmap of hashed ids, of fixed size, is broadcast. With very many ids it fills and flags
+    all rows, so it may only save work, never decide.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bits = written(
+        ids.select(place(id_column).alias("h")).groupBy(
+            F.bitmap_bucket_number("h").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")), "filter")
+    at, bucket, bitmap = (fresh(rows, c) for c in ("filter_at", "filter_bucket", "filter_bits"))
+    bits = bits.select(F.col("bucket").alias(bucket), F.col("bits").alias(bitmap))
+    position = F.bitmap_bit_position(F.col(at))
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), (position / 8).cast("int") + 1, F.lit(1))),
+                  16, 10).cast("int")
+    hit = byte.bitwiseAND(F.pow(F.lit(2), position % 8).cast("int")) != 0
+    return (
+        rows.withColumn(at, place(key))
+        .join(F.broadcast(bits), F.bitmap_bucket_number(F.col(at)) == F.col(bucket), "left")
+        .withColumn(flag, F.coalesce(hit, F.lit(False))).drop(at, bucket, bitmap))
+
+
+def likely(rows: DataFrame, key: str, ids: DataFrame, id_column: str) -> DataFrame:
+    """Rows whose key may be among ``ids``: so wide rows without a partner aren't shuffled."""
+    flag = fresh(rows, "likely")
+    return maybe_in(rows, key, ids, id_column, flag).where(flag).drop(flag)
+
+
+#: Bytes of a batch that Python workers get at once; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches be bounded by bytes and not only by rows: texts may be very long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).lower().rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))

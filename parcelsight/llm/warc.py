@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelsight.llm.shared import new_folder, written
+from parcelsight.llm.shared import bounded_batches, new_folder, written
 
 #: Uncompressed bytes of a frame and of an archive, at least, before the next one is begun.
 FRAME_BYTES, ARCHIVE_BYTES = 1 << 18, 1 << 27
@@ -176,6 +176,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             close_archive()
 
+    bounded_batches(pages.sparkSession)
     return written(_decided(pages).mapInPandas(bundle, INDEX), "index")
 
 
