@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelsight.llm.shared import fresh, shared_root, written
+from parcelsight.llm.shared import fresh, maybe_in, shared_root, written
 
 #: Characters that don't count when texts are compared: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -99,10 +99,15 @@ def keep_first(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", text
 
     A row repeated with the same id and text is returned once.
     """
-    key, kid = fresh(docs, "digest_key"), fresh(docs, "digest_id")
-    winners = decide(docs, index, doc_id, text).where("kept").select(
+    key, kid, flag = (fresh(docs, c) for c in ("digest_key", "digest_id", "crowded"))
+    decided = written(decide(docs, index, doc_id, text), "decided")
+    crowded = decided.where("group_size > 1 OR NOT kept").select("text_sha256").distinct()
+    winners = decided.where("kept").select(
         F.col("text_sha256").alias(key), F.col("doc_id").alias(kid))
-    tagged = docs.withColumn(key, digest_of(F.col(text)))
-    same = (tagged[key] == winners[key]) & tagged[doc_id].eqNullSafe(winners[kid])
-    return (tagged.join(winners, same, "left_semi")
-            .dropDuplicates([doc_id, key]).select(*docs.columns))
+    # texts that occur once stay without a shuffle
+    tagged = maybe_in(docs.withColumn(key, digest_of(F.col(text))), key, crowded, "text_sha256",
+                      flag)
+    shared = tagged.where(flag)
+    same = (shared[key] == winners[key]) & shared[doc_id].eqNullSafe(winners[kid])
+    chosen = shared.join(winners, same, "left_semi").dropDuplicates([doc_id, key])
+    return tagged.where(~F.col(flag)).unionByName(chosen).select(*docs.columns)
