@@ -7,8 +7,9 @@ of equal length are batched from the same bucket.
 
 from __future__ import annotations
 
+import functools
 import os
-import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -17,17 +18,29 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelsight.llm.shared import bounded_batches
+
 LONGEST = 4096
 END_ID = 2
-#: Words whose ids a task remembers; beyond that it begins anew.
-CACHE_WORDS = 200_000
-_BREAK = re.compile(r"[ \n]+")
+#: Words whose ids a Python worker remembers; beyond that it begins anew.
+CACHE_WORDS = 300_000
+#: Words that the tokenizer gets at once.
+GROUP = 200
+#: Punctuation that is looked up on its own at the end of a word.
+TAIL = ".,:;!?%$#&*()\""
+
+
+def _ends_plainly(word: str) -> bool:
+    """Whether the last character is a letter or digit and stays one when it is normalised."""
+    last = word[-1:]
+    return last.isalnum() and (
+        last.isascii() or unicodedata.normalize("NFC", last).lower()[-1].isalnum())
 
 
 class WordEncoder:
     """Ids of texts by a tokenizer that never joins words over a blank or a line end.
 
-    Each distinct word is given to the tokenizer once and then remembered as bytes.
+    Each distinct word stem is given to the tokenizer once; ids are remembered as bytes.
     """
 
     def __init__(self, path: str):
@@ -35,18 +48,56 @@ class WordEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a run of letters
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, without special tokens."""
-        words = [_BREAK.split(t) for t in texts]
+        """Little-endian 32-bit ids of whole texts."""
+        words = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = list({w for ws in words for w in ws if w not in self.known})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False),
+        self._learn(set().union(*words).difference(self.known))
+        return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
+
+    def _learn(self, new: set[str]) -> None:
+        """Remember words by their stems: ASCII in lower case, without punctuation at the end.
+
+        Punctuation behind a letter or digit is always split off, and letter case is dropped.
+        """
+        known = self.known
+        stems = {w: w.rstrip(TAIL) for w in new}
+        stems = {w: s if _ends_plainly(s) else w for w, s in stems.items()}
+        lower = {s: s.lower() if s.isascii() else s for s in stems.values()}
+        tails = {w[len(s):] for w, s in stems.items()}
+        wanted = set(lower.values()).union(tails).difference(known)
+        plain = [s for s in wanted if s.isalpha()]
+        self._learn_each([s for s in wanted if not s.isalpha()])
+        groups = [plain[k:k + GROUP] for k in range(0, len(plain), GROUP)]
+        found = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups],
+                                                 add_special_tokens=False)
+        for group, e in zip(groups, found, strict=True):
+            ids = np.asarray(e.ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(group):  # some letters come apart when they are normalised
+                self._learn_each(group)
+                continue
+            data = ids.tobytes()
+            known.update(zip(group, map(data.__getitem__, map(slice, [0, *cuts], cuts)),
+                             strict=True))
+        known.update({w: known[lower[s]] + known[w[len(s):]] for w, s in stems.items()})
+
+    def _learn_each(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False),
                         strict=True):
             self.known[w] = np.asarray(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
+
+
+@functools.lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of a Python worker, kept from task to task."""
+    return WordEncoder(path)
 
 
 def pieces(n: int) -> list[tuple[int, int]]:
@@ -68,15 +119,16 @@ def pack(docs: DataFrame, tokenizer: str, with_ids: bool = True, doc_id: str = "
     each. ``sequence_id`` is unique; ``length`` is the bucket. No rows: no pieces. Further
     columns are left out. ``ids`` (array<int>) is left out unless asked for.
     """
+    bounded_batches(docs.sparkSession)
     kind = "start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
 
     @F.pandas_udf(f"array<struct<{kind.replace(' ', ':').replace(',:', ',')}>>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder, end = WordEncoder(tokenizer), np.asarray([END_ID], "<u4").tobytes()
+        encoder, end = word_encoder(tokenizer), np.asarray([END_ID], "<u4").tobytes()
         for texts in batches:
             out = []
-            for lo in range(0, len(texts), 64):
-                for ids in encoder.encode([t or "" for t in texts[lo:lo + 64]]):
+            for lo in range(0, len(texts), 1024):
+                for ids in encoder.encode([t or "" for t in texts[lo:lo + 1024]]):
                     ids += end
                     n, row = len(ids) // 4, []
                     for start, size in pieces(n):
