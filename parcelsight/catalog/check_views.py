@@ -127,7 +127,7 @@ FROM (SELECT *, {', '.join(subs)} FROM ({block}) b) s"""
 
 
 def _circles():
-    return [(str(p), name) for lo, hi, name in G.CIRCLE_BY_PIN2_RANGE for p in range(lo, hi + 1)]
+    return list(G.CIRCLE_BY_PIN2.items())
 
 
 def _sla_rows():

@@ -11,8 +11,7 @@ from parcelsight.session import rule_table
 
 
 def _prefix_row(prefix: str) -> tuple:
-    circle = next((name for lo, hi, name in G.CIRCLE_BY_PIN2_RANGE
-                   if lo <= int(prefix[:2]) <= hi and prefix[0] != "0"), None)
+    circle = G.CIRCLE_BY_PIN2.get(prefix[:2])
     city = G.CITY_BY_PIN3.get(prefix)
     if len(prefix) < 3:
         tier = "Unknown"

@@ -130,8 +130,8 @@ def reconciliation(lines: DataFrame, adjustments: DataFrame | None = None,
         F.min(blank_to_null(F.col("invoice_date"))).alias("invoice_date"),
         F.min(month).alias("_month"),
         F.sum("shipments").alias("shipments"),
-        F.sum(cents(F.col("amount"))).alias("paise"),
-        F.sum(cents(F.col("amount_ex_gst"))).alias("ex_paise"))
+        *[F.coalesce(F.sum(cents(F.col(c))), F.lit(0)).alias(out)
+          for c, out in (("amount", "paise"), ("amount_ex_gst", "ex_paise"))])
     if adjustments is not None:
         g = g.join(adjustments.select("carrier", "invoice_number", *kinds),
                    ["carrier", "invoice_number"], "left")

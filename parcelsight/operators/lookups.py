@@ -188,18 +188,30 @@ def overlay(default: DataFrame, session: DataFrame, key: str) -> DataFrame:
                                 .alias(c) for c in names if c != "_present"])
 
 
+def _by_key(master: DataFrame, fields: list[str]) -> DataFrame:
+    """One row per SKU, that of the largest values where a SKU repeats; blank SKUs go."""
+    return master.where(F.coalesce("sku_key", F.lit("")) != "").groupBy("sku_key").agg(
+        F.max(F.struct(*fields)).alias("x")).select("sku_key", "x.*")
+
+
 def master_overlay(default: DataFrame, session: DataFrame) -> DataFrame:
     """Default item master overlaid by the session's, per SKU."""
-    fields = ["sku_key", "category", "product", "vol_kg"]
+    fields = ["category", "product", "vol_kg"]
     present = F.lit(True).alias("_present")
-    return overlay(default.select(*fields, present), session.select(*fields, present), "sku_key")
+    return overlay(_by_key(default, fields).select("*", present),
+                   _by_key(session, fields).select("*", present), "sku_key")
 
 
 def master_merge(files: DataFrame) -> DataFrame:
-    """Several master files as one: per SKU the row of the latest file (``seq``) wins."""
-    return files.groupBy("sku_key").agg(
-        F.max(F.struct("seq", "category", "product", "vol_kg")).alias("x")) \
-        .select("sku_key", "x.category", "x.product", "x.vol_kg")
+    """Several master files as one: per SKU the latest file (``seq``) that has a value wins.
+
+    Category and product come together from one file, the weight from the latest that has one.
+    """
+    latest = F.struct("seq", "category", "product")
+    weighed = F.when(F.col("vol_kg").isNotNull(), F.struct("seq", "vol_kg"))
+    named = F.when(F.col("category").isNotNull() | F.col("product").isNotNull(), latest)
+    return files.groupBy("sku_key").agg(F.max(named).alias("n"), F.max(weighed).alias("w")) \
+        .select("sku_key", "n.category", "n.product", "w.vol_kg")
 
 
 def enrich_from_master(lines: DataFrame, master: DataFrame) -> DataFrame:

@@ -88,8 +88,9 @@ def sla_lookup(lookups: DataFrame) -> DataFrame:
 
 def config_overlay(local: DataFrame, shared: DataFrame) -> DataFrame:
     """Carrier configurations: the shared copy replaces the local one."""
-    joined = local.alias("l").join(shared.alias("s"), "carrier", "full_outer")
     names = [c for c in local.columns if c != "carrier"]
-    has_shared = F.col("s.gst_mode").isNotNull()
+    marked = shared.withColumn("_present", F.lit(True))
+    joined = local.alias("l").join(marked.alias("s"), "carrier", "full_outer")
+    has_shared = F.coalesce(F.col("s._present"), F.lit(False))
     return joined.select("carrier", *[F.when(has_shared, F.col(f"s.{c}")).otherwise(F.col(f"l.{c}"))
                                       .alias(c) for c in names])

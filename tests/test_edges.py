@@ -8,11 +8,14 @@ from pyspark.sql import types as T
 from parcelsight.functions import classify as C
 from parcelsight.functions import scalars as N
 from parcelsight.functions import times as TM
+from parcelsight.functions.geo import join_prefix
 from parcelsight.operators import invoices as I
 from parcelsight.operators import kpi as K
+from parcelsight.operators import lookups as L
 from parcelsight.operators import revenue as R
 from parcelsight.operators.shipments import build_shipments
 from parcelsight.sources.cells import read_cells, select_fields
+from parcelsight.sources.shipments import config_overlay
 from parcelsight.sources.windows import Window, clamp_lookback
 
 AS_OF = "2024-06-30 00:00:00"
@@ -51,11 +54,12 @@ def test_timestamps(spark):
 
 def test_file_months(spark):
     names = ["2025-05.csv", "ER 05.2025.xlsx", "May'25", "ElasticRun May FY2025.xlsx", "December",
-             "statement.csv"]
+             "statement.csv", "Swift_2024_7", "mar-2024.tsv", "12-05-2025", "june 99 x", "2025 05"]
     df = spark.createDataFrame(list(enumerate(names)), "i int, x string")
     got = TM.add_month_of_name(df, "x", "k", "l").orderBy("i").collect()
     assert [r["k"] for r in got] == \
-        ["2025-05", "2025-05", "2025-05", "2025-05", "0000-12", "zzzz-statement"]
+        ["2025-05", "2025-05", "2025-05", "2025-05", "0000-12", "zzzz-statement", "2024-07", "2024-03",
+         "2025-05", "1999-06", "zzzz-2025 05"]
 
 
 def test_outcomes(spark):
@@ -155,3 +159,43 @@ def test_ambiguous_file_takes_first_layout_with_lines(spark):
 
 def test_null_kind_of_numbers(spark):
     assert spark.range(1).select(N.to_number(F.lit(5), T.IntegerType())).first()[0] == 5.0
+
+
+def test_circle_of_odisha(spark):
+    df = spark.createDataFrame([("770017",), ("751001",), ("290001",)], "pin string")
+    got = join_prefix(df, F.col("pin"), "d").collect()
+    assert {r["pin"]: r["d_city"] for r in got} == \
+        {"770017": "Odisha", "751001": "Odisha", "290001": "PIN 290xx"}
+
+
+MASTER = "sku_key string, category string, product string, vol_kg double"
+
+
+def test_master_overlay_repeated_and_blank_skus(spark):
+    rows = spark.createDataFrame([("", "A", "x", 1.0), ("", "B", "y", 2.0), ("S", "A", "x", 1.0),
+                                  ("S", "A", "x", 1.0)], MASTER)
+    got = L.master_overlay(rows, rows).collect()
+    assert [tuple(r) for r in got] == [("S", "A", "x", 1.0)]
+
+
+def test_master_merge_keeps_the_older_weight(spark):
+    files = spark.createDataFrame([(1, "S", "A", "x", 1.5), (2, "S", "B", "y", None)],
+                                  "seq int, " + MASTER)
+    assert [tuple(r) for r in L.master_merge(files).collect()] == [("S", "B", "y", 1.5)]
+
+
+def test_shared_config_without_mode_wins(spark):
+    kind = "carrier string, gst_mode string, note string"
+    local = spark.createDataFrame([("C", "incl", "local"), ("D", None, "local")], kind)
+    shared = spark.createDataFrame([("C", None, "shared")], kind)
+    got = {r["carrier"]: (r["gst_mode"], r["note"]) for r in config_overlay(local, shared).collect()}
+    assert got == {"C": (None, "shared"), "D": (None, "local")}
+
+
+def test_invoice_without_net_amount(spark):
+    lines = spark.createDataFrame(
+        [("C", "I1", "2024-05-03", "2024-05", 2, 118.0, None)],
+        "carrier string, invoice_number string, invoice_date string, service_month_key string, "
+        "shipments long, amount double, amount_ex_gst double")
+    row = I.reconciliation(lines).collect()[0]
+    assert (row["amount_ex_gst"], row["tds"], row["payable"]) == (0.0, 0.0, 118.0)
