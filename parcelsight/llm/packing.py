@@ -143,7 +143,8 @@ def pack(docs: DataFrame, tokenizer: str, with_ids: bool = True, doc_id: str = "
     # numbered where the pieces are made: a task that is run again numbers them alike
     return (
         docs.select(F.col(doc_id).alias("doc_id"), cut(text).alias("pieces"))
-        .select("doc_id", F.explode("pieces").alias("piece"))
+        # every row has a piece; a plain explode would add a filter that runs the function again
+        .select("doc_id", F.explode_outer("pieces").alias("piece"))
         .select("doc_id", "piece.*", F.monotonically_increasing_id().alias("sequence_id"),
                 F.lit(0).cast("long").alias("offset")))
 
