@@ -81,3 +81,51 @@ SELECT e.vec_id, coalesce(n_links, 0) AS n_links,
        e.vec_id = least(e.vec_id, coalesce(component_id, e.vec_id)) AS kept
 FROM embeddings e LEFT JOIN component c ON c.node = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id
 """
+
+# The checksum goes byte by byte through the table of its generator, worked out in SQL.
+ORACLES["op13_spelling"] = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run
+        FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+bytes AS (
+  SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs),
+summed AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+    list_concat([4294967295], list_transform(range(1, length(x), 2),
+                                             lambda i: ('0x' || x[i:i + 1])::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM bytes, crc),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0
+      THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM summed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+skips AS (
+  SELECT word, word[1:i] AS p, word[i + 2:] AS s
+  FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other FROM skips a JOIN skips b USING (p, s) WHERE a.word != b.word
+  UNION SELECT word, p || s FROM skips WHERE p || s IN (SELECT word FROM words)
+  UNION SELECT p || s, word FROM skips WHERE p || s IN (SELECT word FROM words)),
+best AS (
+  SELECT near.word, count(*) AS n_near,
+         arg_min(other, (-o.n, other)) AS other, max(o.n) AS other_n
+  FROM near JOIN words o ON o.word = near.other GROUP BY near.word),
+forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN other_n >= 10 * n THEN other END AS form,
+         CASE WHEN other_n >= 10 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, word AS root FROM forms
+  UNION ALL SELECT chain.word, form FROM chain JOIN forms ON forms.word = root
+  WHERE form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n
+FROM forms f JOIN (
+  SELECT chain.word, root FROM chain JOIN forms ON forms.word = root WHERE form IS NULL) c USING (word)
+"""

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from parcelsight.llm import (
-    bpe, exact, langid, minhash, packing, pii, quality, secret_scan, vectors, warc)
+    bpe, exact, extraction, langid, minhash, packing, pii, quality, secret_scan, spelling, vectors,
+    warc, whitening)
 from parcelsight.llm.shared import documents
 
 WORD_TOKENIZER, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
@@ -60,6 +61,21 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.decide(documents(spark, sf_dir, "doc_id", "text"), exact.new_index(spark))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return whitening.whiten(rows.select("vec_id", "embedding"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return extraction.extract(pages.select("page_id", "url", "html"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(documents(spark, sf_dir, "doc_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_byte_bpe, op3_vector_dedup, op4_minhash, op5_packing, op6_quality,
-    op7_warc, op8_pii, op9_language_id, op10_exact_dedup)}
+    op7_warc, op8_pii, op9_language_id, op10_exact_dedup, op11_whitening, op12_html_extraction,
+    op13_spelling)}
