@@ -34,13 +34,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             current.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         smallest = written(
             both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "components")
-        large = (
+        large = written(
             both.where("v > u").join(smallest, "u")
-            .select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"), F.collect_set("lo").alias("los"))
+            .select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "components")
+        least = written(large.groupBy("hi").agg(F.min("lo").alias("m")), "components")
         others = (
-            least.select(F.explode("los").alias("hi"), F.col("m").alias("lo"))
-            .where("hi != lo"))
+            large.join(least, "hi").where("lo != m")
+            .select(F.col("lo").alias("hi"), F.col("m").alias("lo")))
         current = written(
             least.select("hi", F.col("m").alias("lo")).union(others).distinct(), "components")
         after = _signature(current)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelsight.llm.shared import bounded_batches, fresh, held_out, written
+from parcelsight.llm.shared import bounded_batches, fresh, held_out, release, written
 
 BUCKETS = 1 << 15
 #: Documents of each language that the weights are fitted on, at most about that many.
@@ -71,7 +71,10 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int) -> np.ndarray:
     """Weights [BUCKETS, classes] of FTRL-proximal over ``rows`` of (columns, values, class)."""
-    z, n = np.zeros((BUCKETS, classes)), np.zeros((BUCKETS, classes))
+    # only buckets that occur have weights other than zero
+    seen = np.unique(np.concatenate([at for at, _, _ in rows])) if rows else np.empty(0, int)
+    rows = [(np.searchsorted(seen, at), x, y) for at, x, y in rows]
+    z, n = np.zeros((len(seen), classes)), np.zeros((len(seen), classes))
 
     def weights(at):
         zi, ni = z[at], n[at]
@@ -88,7 +91,9 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int) -> np.nda
             step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
             z[at] += g - step * w
             n[at] += g * g
-    return weights(slice(None))
+    out = np.zeros((BUCKETS, classes), np.float32)
+    out[seen] = weights(slice(None))
+    return out
 
 
 def temperature(logits: np.ndarray, y: np.ndarray) -> float:
@@ -123,6 +128,7 @@ class LanguageModel:
 def _frequencies(rows: DataFrame, text: str) -> tuple[np.ndarray, int]:
     """In how many texts each bucket occurs, over all rows, and the number of texts."""
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         seen = np.zeros(BUCKETS + 1, np.int64)
         for batch in batches:
             for t in batch[text]:
@@ -150,17 +156,17 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     seen, n = _frequencies(known, text)
     idf = np.log((1 + n) / (1 + seen)) + 1
 
-    rank = F.xxhash64(F.col(doc_id), F.lit(7))
+    rank = F.xxhash64(F.col(doc_id), F.col(text), F.lit(7))
     share = F.create_map(*[F.lit(x) for k in languages
                            for x in (k, min(1.0, SAMPLE_PER_LANGUAGE / sizes[k]))])
     number = F.create_map(*[F.lit(x) for i, k in enumerate(languages) for x in (k, i)])
     taken = (
         known.where((rank / F.lit(2.0**64) + 0.5) < share[F.col(lang)])
         .select(rank.alias("rank"), F.coalesce(text, F.lit("")).alias("text"),
-                number[F.col(lang)].alias("y"))
-        .orderBy("rank").limit(2 * SAMPLE_PER_LANGUAGE * len(languages)))
+                number[F.col(lang)].alias("y")))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for batch in batches:
             found = [count_ngrams(t) for t in batch["text"]]
             yield pd.DataFrame({
@@ -168,25 +174,26 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
                 "at": [f.astype(np.int32) for f, _, _ in found],
                 "x": [weigh(f, c, idf).astype(np.float32) for f, c, _ in found]})
 
+    # texts stay where they are; a row that is repeated counts once
     sample = written(
-        taken.repartition(SHARDS * 4, "rank")
-        .mapInPandas(features, "rank long, y int, at array<int>, x array<float>"), "sample")
+        taken.mapInPandas(features, "rank long, y int, at array<int>, x array<float>")
+        .groupBy("rank", "y").agg(F.first("at").alias("at"), F.first("x").alias("x")), "sample")
     classes, tuning = len(languages), F.pmod(F.col("rank"), F.lit(10)) == 0
 
     def fit(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("rank")
         w = ftrl([(np.asarray(a), np.asarray(x, float), int(y))
                   for a, x, y in zip(batch["at"], batch["x"], batch["y"], strict=True)], classes)
-        return pd.DataFrame({"n": [len(batch)], "w": [w.astype(np.float32).tobytes()]})
+        return pd.DataFrame({"n": [len(batch)], "w": [w.tobytes()]})
 
     shards = (
         sample.where(~tuning)
         .groupBy(F.pmod(F.xxhash64("rank"), F.lit(SHARDS)).alias("shard"))
         .applyInPandas(fit, "n long, w binary").collect())  # SHARDS rows of the model's size
-    weights = np.zeros((BUCKETS, classes))
+    weights = np.zeros((BUCKETS, classes), np.float32)
     for r in shards:
         weights += r["n"] * np.frombuffer(r["w"], np.float32).reshape(BUCKETS, classes)
-    weights /= max(1, sum(r["n"] for r in shards))
+    weights /= np.float32(max(1, sum(r["n"] for r in shards)))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -207,6 +214,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text"):
 
     @F.pandas_udf("lang_pred string, score double")
     def best(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release()
         for texts in batches:
             yield pd.DataFrame([shared.value.predict(t) for t in texts],
                                columns=["lang_pred", "score"])

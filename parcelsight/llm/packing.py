@@ -7,8 +7,8 @@ of equal length are batched from the same bucket.
 
 from __future__ import annotations
 
-import functools
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -18,12 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelsight.llm.shared import bounded_batches
+from parcelsight.llm.shared import bounded_batches, held
 
 LONGEST = 4096
 END_ID = 2
-#: Words whose ids a Python worker remembers; beyond that it begins anew.
-CACHE_WORDS = 300_000
+#: Bytes that a Python worker remembers words and their ids in, about; beyond them it begins anew.
+CACHE_BYTES = 48 << 20
+#: Bytes of a remembered word beside its letters and ids.
+ENTRY_BYTES = 160
 #: Words that the tokenizer gets at once.
 GROUP = 200
 #: Punctuation that is looked up on its own at the end of a word.
@@ -47,17 +49,22 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Tokens that are looked for in the text as it stands, before letter case is dropped.
+        self.special = re.compile("|".join(
+            re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+            or r"(?!)", re.I)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a run of letters
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.bytes = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of whole texts."""
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE_WORDS:
+        if self.bytes > CACHE_BYTES:
             self.known.clear()
+            self.bytes = 0
         self._learn(set().union(*words).difference(self.known))
         return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
 
@@ -69,7 +76,8 @@ class WordEncoder:
         known = self.known
         stems = {w: w.rstrip(TAIL) for w in new}
         stems = {w: s if _ends_plainly(s) else w for w, s in stems.items()}
-        lower = {s: s.lower() if s.isascii() else s for s in stems.values()}
+        lower = {s: s.lower() if s.isascii() and not self.special.search(s) else s
+                 for s in stems.values()}
         tails = {w[len(s):] for w, s in stems.items()}
         wanted = set(lower.values()).union(tails).difference(known)
         plain = [s for s in wanted if s.isalpha()]
@@ -87,6 +95,7 @@ class WordEncoder:
             known.update(zip(group, map(data.__getitem__, map(slice, [0, *cuts], cuts)),
                              strict=True))
         known.update({w: known[lower[s]] + known[w[len(s):]] for w, s in stems.items()})
+        self.bytes += sum(2 * len(w) + 2 * len(known[w]) + 2 * ENTRY_BYTES for w in new)
 
     def _learn_each(self, words: list[str]) -> None:
         for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False),
@@ -94,10 +103,9 @@ class WordEncoder:
             self.known[w] = np.asarray(e.ids, "<u4").tobytes()
 
 
-@functools.lru_cache(maxsize=1)
 def word_encoder(path: str) -> WordEncoder:
-    """The encoder of a Python worker, kept from task to task."""
-    return WordEncoder(path)
+    """The encoder of a Python worker, kept from task to task, but not beside other operators."""
+    return held(("words", path), lambda: WordEncoder(path))
 
 
 def pieces(n: int) -> list[tuple[int, int]]:

@@ -58,7 +58,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.decide(documents(spark, sf_dir, "doc_id", "text"), exact.new_index(spark))
+    with exact.new_index(spark) as index:
+        return exact.decide(documents(spark, sf_dir, "doc_id", "text"), index)
 
 
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:

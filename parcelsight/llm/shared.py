@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,14 +20,25 @@ def shared_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="corpus-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return root.rstrip("/")
 
 
+@functools.cache
+def _local_root() -> str:
+    root = tempfile.mkdtemp(prefix="corpus-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this package's own in the shared one, on whatever file system it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
@@ -89,6 +102,25 @@ def likely(rows: DataFrame, key: str, ids: DataFrame, id_column: str) -> DataFra
     return maybe_in(rows, key, ids, id_column, flag).where(flag).drop(flag)
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """What ``make`` returns, kept by this Python worker until it is asked for something else.
+
+    Workers go on from stage to stage; so they hold the memory of one operator at a time.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Let go of what earlier operators hold in this Python worker."""
+    _HELD.clear()
+
+
 #: Bytes of a batch that Python workers get at once; a longer text is a batch of its own.
 BATCH_BYTES = 4 << 20
 

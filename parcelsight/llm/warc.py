@@ -28,6 +28,7 @@ from parcelsight.llm.shared import bounded_batches, new_folder, written
 FRAME_BYTES, ARCHIVE_BYTES = 1 << 18, 1 << 27
 LEVEL = 3
 #: Payloads shorter than this are never revisits.
+RUN_OF_FRAMES = 8
 LEAST_REVISIT = 1000
 DATE = "1970-01-01T00:00:00Z"
 
@@ -215,7 +216,13 @@ def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
         if file is not None:
             file.close()
 
-    frames = index.select("archive", "frame").distinct().sortWithinPartitions("archive", "frame")
+    # runs of neighbouring frames are dealt over a fixed number of tasks: the list is tiny, so a
+    # number left to Spark would be one, whatever the frames weigh
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    frames = (
+        index.select("archive", "frame").distinct()
+        .repartition(tasks, "archive", F.floor(F.col("frame") / RUN_OF_FRAMES))
+        .sortWithinPartitions("archive", "frame"))
     return frames.mapInPandas(unpack, RECORD)
 
 

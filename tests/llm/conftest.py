@@ -6,10 +6,8 @@ from parcelsight.llm import shared
 
 
 @pytest.fixture(scope="session", autouse=True)
-def shared_folder(spark, tmp_path_factory):
+def shared_folder(spark):
     """The folder that a cluster would name; sessions of tests name none."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     return shared.shared_root(spark)
 
 

@@ -153,6 +153,116 @@ def test_likely(spark):
     assert set(range(0, 4000, 7)) <= got and len(got) < 700
 
 
+def test_exact_batch_given_again(spark, docs):
+    """A batch whose run was lost after it was appended finds the same once more."""
+    with exact.new_index(spark) as index:
+        want = rows(exact.decide(docs, index, batch="one"), "doc_id", "keep_id", "kept")
+        size = index.table().count()
+        assert rows(exact.decide(docs, index, batch="one"), "doc_id", "keep_id", "kept") == want
+        assert exact.keep_first(docs, index, batch="one").count() == sum(k for *_, k in want)
+        assert index.table().count() == size
+        assert not any(k for *_, k in rows(exact.decide(docs, index, batch="two"),
+                                           "doc_id", "keep_id", "kept"))
+        name = index.name
+    assert not spark.catalog.tableExists(name)
+
+
+def test_exact_lost_before_the_append(spark, docs, monkeypatch):
+    with exact.new_index(spark) as index:
+        with monkeypatch.context() as lost:
+            lost.setattr(exact.DigestIndex, "add", lambda *_: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                exact.decide(docs, index, batch="one")
+        assert index.table().count() == 0
+        assert exact.keep_first(docs, index, batch="one").count() == exact.keep_first(
+            docs, index, batch="one").count() > 0
+
+
+def test_near_copies_with_one_id(spark):
+    """Rows with one id are decided by their own texts."""
+    words = [f"w{k}" for k in range(60)]
+    frame = spark.createDataFrame(
+        [(3, " ".join(words)), (9, " ".join([*words, "more"])), (9, "a text that nobody else has at all"),
+         (9, None), (12, " ".join(words))], "doc_id long, text string")
+    kept = rows(minhash.keep_one(frame, percent=80), "doc_id", "text")
+    assert kept == [(3, " ".join(words)), (9, "a text that nobody else has at all"), (9, None)]
+
+
+def test_secret_models_recall(spark, folder):
+    """Random strings of other forms than the labelled ones, and names that are none."""
+    pick = random.Random(4)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    drawn = lambda letters, n: "".join(pick.choice(letters) for _ in range(n))
+    ordinary = [r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    labelled = [f"password={drawn(lower + digits + upper, 24)} key {drawn(digits + 'abcdef', 32)} "
+                f"AKIA{drawn(upper + digits, 16)}" for _ in range(60)]
+    frame = spark.createDataFrame([(t,) for t in [*ordinary, *labelled]], "text string")
+    model = secret_scan.train(frame)
+    assert model.recall >= 0.8 and model.false_hits <= secret_scan.FALSE_HITS
+    for letters, n in ((upper + lower + digits, 40), (upper + lower + digits, 24), (lower + digits, 32),
+                       (digits + "ABCDEF", 32)):
+        found = sum(model.spans(f"it is {drawn(letters, n)} here") != [] for _ in range(300))
+        assert found >= 270
+    for name in ("configuration_management_service", "com.example.project.module.Main",
+                 "getUserAccountInformationById", "main_window_2_final_v3.docx", "12345678901234567890"):
+        assert model.spans(name) == []
+
+
+def brute_secrets(text):
+    """Spans of the fixed formats, character by character."""
+    out, kinds = [], (("assign", None), ("access", "AKIA"), ("hex", ""))
+    word = set(secret_scan.ALPHABET)
+    for kind, head in kinds:
+        at = 0
+        while at < len(text):
+            end = None
+            if kind == "assign":
+                for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+                    if text[at:at + len(name)].translate(str.maketrans(
+                            "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) == name:
+                        k = at + len(name)
+                        k += text[k:k + 1] in tuple("\"'")
+                        while text[k:k + 1] == " ":
+                            k += 1
+                        if text[k:k + 1] in (":", "="):
+                            k += 1
+                            # an equals sign may also begin the value
+                            while text[k:k + 1] == " ":
+                                k += 1
+                            k += text[k:k + 1] in tuple("\"'")
+                            v = k
+                            while v < len(text) and text[v] in word:
+                                v += 1
+                            if v > k:
+                                end, fits = v, v - k >= 6
+                        break
+            else:
+                letters = set("0123456789abcdef") if kind == "hex" else set(
+                    "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+                if text.startswith(head, at):
+                    v = at + len(head)
+                    while v < len(text) and text[v] in letters:
+                        v += 1
+                    if v > at + len(head):
+                        end, fits = v, v - at >= (20 if kind == "access" else 24)
+            if end:
+                if fits:
+                    out.append((at, ("assign", "access", "hex").index(kind), end))
+                at = end
+            else:
+                at += 1
+    return sorted(out)
+
+
+def test_base_secrets_against_brute_force():
+    pick = random.Random(7)
+    pieces = ["password", "PassWD", "api_key", "APIKEY", "token", "secret", "=", ":", " ", "'", '"', "AKIA",
+              "A1B2C3D4", "0123456789abcdef", "abc", "é", "\n", "\u2028", "x.y", "==", "K", "ſecret"]
+    for _ in range(1500):
+        text = "".join(pick.choice(pieces) for _ in range(pick.randint(1, 25)))
+        assert [(s, k, e) for s, k, e, _ in secret_scan.base_spans(text)] == brute_secrets(text), text
+
+
 def test_secrets(docs, none, spark):
     found = secret_scan.scan(docs, secret_scan.train(docs))
     assert found.count() == len(ROWS)
