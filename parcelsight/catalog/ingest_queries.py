@@ -259,17 +259,34 @@ def src_route_kind(i):
 _HEADERS = {f: names[-1] for f, names in SHIPMENT_HEADERS.items()}
 
 
-def shipment_files(i: Inputs, sep: str) -> str:
-    """A shipment export per payment mode, as delimited text in the shared folder."""
+def _delimited(df: DataFrame, path: str, sep: str, encoding: str = "UTF-8") -> None:
+    df.write.csv(path, header=True, sep=sep, encoding=encoding, escape='"')
+
+
+def shipment_files(i: Inputs) -> str:
+    """Shipment exports of several dialects in one folder of the shared one.
+
+    A semicolon export of 200 columns in Latin-1, a tab one whose header and items hold line
+    breaks, a comma one with the columns reversed; beside them files that give no rows.
+    """
     folder = shared_folder(i.spark, "shipments")
     stamps = ("pickup_ts", "order_ts", "delivery_ts", "ofd1_ts")
     text = i.raw.select(*[
         (F.date_format(f, "yyyy-MM-dd HH:mm:ss") if f in stamps else F.col(f).cast("string")).alias(f)
         for f in SHIPMENT_HEADERS])
-    for mode in ("cod", "PREPAID"):
-        fields = list(SHIPMENT_HEADERS) if mode == "cod" else list(reversed(SHIPMENT_HEADERS))
-        text.where(F.col("payment") == mode).select(*[F.col(f).alias(_HEADERS[f]) for f in fields]) \
-            .write.csv(f"{folder}/{mode}", header=True, sep=sep)
+    named = lambda rows, fields: rows.select(*[F.col(f).alias(_HEADERS[f]) for f in fields])
+    cod, prepaid = text.where(F.col("payment") == "cod"), text.where(F.col("payment") == "PREPAID")
+    odd = F.pmod(F.xxhash64("awb"), F.lit(2)) == 1
+    filler = [F.lit("é").alias(f"spare {k}") for k in range(200 - len(SHIPMENT_HEADERS))]
+    _delimited(named(cod.where(odd), SHIPMENT_HEADERS).select(*filler, "*"), f"{folder}/wide", ";",
+               "ISO-8859-1")
+    _delimited(named(cod.where(~odd), SHIPMENT_HEADERS).select(
+        F.concat(F.lit("held,\n"), F.lit('as "is"; so')).alias("remarks of\nthe; hub"), "*"),
+        f"{folder}/breaks", "\t")
+    _delimited(named(prepaid, list(reversed(SHIPMENT_HEADERS))), f"{folder}/plain", ",")
+    _delimited(named(cod.limit(3), ["awb", "status"]), f"{folder}/lacking", "|")
+    i.spark.range(1).coalesce(1).select(F.lit("<html><body>no table</body></html>")).write.csv(
+        f"{folder}/page", quote="")
     return folder
 
 
@@ -277,7 +294,7 @@ def shipment_files(i: Inputs, sep: str) -> str:
 SELECT awb, carrier, account, payment, pickup_pin, drop_pin, weight, attempts, order_value, status,
   item_name, order_ts, pickup_ts, delivery_ts, o2s_us, p2d_us FROM facts"""))
 def src_shipment_csv(i):
-    raw = SRC.read_shipment_files(i.spark, shipment_files(i, ";"), sep=";", width=32)
+    raw = SRC.read_shipment_files(i.spark, shipment_files(i))
     return SH.shipment_facts(raw, AS_OF).select(
         "awb", "carrier", "account", "payment", "pickup_pin", "drop_pin", "weight", "attempts",
         "order_value", "status", "item_name", "order_ts", "pickup_ts", "delivery_ts", "o2s_us", "p2d_us")
@@ -286,34 +303,45 @@ def src_shipment_csv(i):
 @query("src_resolve_columns", statement("""
 SELECT awb, trim(carrier) AS carrier, sku, status FROM shipments_raw WHERE trim(carrier) <> ''"""))
 def src_resolve_columns(i):
-    cells = CE.read_cells(i.spark, shipment_files(i, ","), width=32)
+    cells = CE.read_cells(i.spark, shipment_files(i))
     wanted = {f: SHIPMENT_HEADERS[f] for f in ("awb", "carrier", "sku", "status", "zone")}
     out = CE.select_fields(cells, wanted, REQUIRED_HEADERS)
     return out.where(F.col("carrier").isNotNull()).select("awb", "carrier", "sku", "status")
 
 
+@query("src_file_problems", """
+SELECT * FROM (VALUES ('lacking', 'missing required column(s): carrier'),
+  ('page', 'looks like HTML or XML')) AS t(folder, problem)""")
+def src_file_problems(i):
+    """Every file that gives no rows, with the reason."""
+    found = CE.file_problems(i.spark, shipment_files(i), SHIPMENT_HEADERS, REQUIRED_HEADERS)
+    return found.select(CE.folder_of(F.col("file")).alias("folder"), "problem").distinct()
+
+
 def invoice_files(i: Inputs) -> str:
-    """Safexpress bills as one text file set per month folder."""
+    """Safexpress bills as one text file set per month folder, of three dialects by turns."""
     folder = shared_folder(i.spark, "invoices")
     name, columns = RENDERED["safexpress"]
     b = bill(i).select(F.col("m").alias("folder"), *[F.expr(e).alias(h) for h, e in columns.items()])
-    b.repartition("folder").write.partitionBy("folder").csv(folder, header=True)
+    turn = F.substring("folder", -1, 1).cast("int") % 3
+    for k, sep in enumerate((",", "\t", ";")):
+        b.where(turn == k).repartition("folder").write.mode("append").partitionBy("folder").csv(
+            folder, header=True, sep=sep)
     return folder
 
 
 @query("src_invoice_files", statement("""
 SELECT 'folder=' || m AS folder, count(*) AS lines FROM bill GROUP BY m"""))
 def src_invoice_files(i):
-    cells = CE.read_cells(i.spark, invoice_files(i), width=8)
-    lines = SI.parse_lines(cells)
+    lines = SI.parse_lines(CE.read_cells(i.spark, invoice_files(i)))
     return lines.groupBy(CE.folder_of(F.col("path")).alias("folder")).agg(F.count("*").alias("lines"))
 
 
 @query("src_month_partition", statement("""
 SELECT id AS awb, amount FROM bill WHERE m = (SELECT max(m) FROM bill WHERE m < '2018')"""))
 def src_month_partition(i):
-    cells = CE.read_cells(i.spark, invoice_files(i), width=8)
-    return SI.parse_lines(SI.of_month(cells, "2017-12")).select("awb", "amount")
+    files = SI.of_month(i.spark, invoice_files(i), "2017-12")
+    return SI.parse_lines(CE.read_cells(i.spark, files)).select("awb", "amount")
 
 
 @query("src_month_buckets", statement("""
@@ -323,10 +351,27 @@ def src_month_buckets(i):
     return SI.month_buckets(rendered(i, "safexpress"))
 
 
-@query("src_column_profile")
+_PROFILED = [("Lane", "zone"), ("Charge", "printf('%,.2f', amount)"), ("Docket", "id"),
+             ("Kilos", "cast(weight_kg AS VARCHAR)"), ("Bill", "invoice_number"),
+             ("Shipped", "m || '-15 10:30:00'")]
+_SUGGESTED = {"Lane": "", "Charge": "", "Docket": "", "Kilos": "", "Bill": "", "Shipped": ""}
+
+
+@query("src_column_profile", statement("""
+SELECT '/in/configured/' || m || '/acme.csv' AS path, 1::BIGINT AS header_row, pos::INT AS pos, name,
+  count(*) AS filled, string_agg(value, ' | ' ORDER BY nth) FILTER (nth <= 3) AS samples, suggested
+FROM (SELECT m, pos, name, suggested, value, row_number() OVER (PARTITION BY m, pos ORDER BY value) AS nth
+  FROM (""" + " UNION ALL ".join(
+    f"SELECT m, {k} AS pos, '{name}' AS name, '{_SUGGESTED[name]}' AS suggested, {expr} AS value FROM bill"
+    for k, (name, expr) in enumerate(_PROFILED)) + """
+    UNION ALL SELECT DISTINCT m, 0, 'Lane', '""" + _SUGGESTED["Lane"] + """', 'Total' FROM bill) u
+  WHERE value <> '') v
+GROUP BY m, pos, name, suggested"""))
 def src_column_profile(i):
-    return CE.column_profile(rendered(i, "configured").where(F.col("path").contains("2017-")),
-                             SUGGESTED_HEADERS)
+    cells = rendered(i, "configured")
+    # rows after the header come without a number, the total among them
+    plain = cells.withColumn("row_no", F.when(F.col("row_no") < 2, F.col("row_no")))
+    return CE.column_profile(plain, SUGGESTED_HEADERS)
 
 
 @query("src_sla_rows", statement("""
@@ -337,7 +382,7 @@ def src_sla_rows(i):
     i.fx.sla_overrides_raw.select(
         F.col("tat").alias("SLA (days)"), F.col("pincode").alias("Drop Pincode"),
         F.col("origin_pin").alias("Warehouse Pincode")).write.csv(folder, header=True, sep="\t")
-    cells = CE.read_cells(i.spark, folder, sep="\t", width=4)
+    cells = CE.read_cells(i.spark, folder)
     return SRC.sla_rows(cells).select("origin_pin", "pincode", "tat")
 
 

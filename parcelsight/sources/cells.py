@@ -2,33 +2,127 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelsight.functions.scalars import norm_header, to_number
+from parcelsight.session import cut_lineage
 
 HEAD_ROWS = 15
+#: What cells may be parted by; of equal claims the earlier one holds.
+SEPARATORS = (",", "\t", ";", "|")
 EXTENSIONS = "*.{csv,tsv,CSV,TSV}"
 
 
-def read_cells(spark: SparkSession, path: str, sep: str = ",", width: int = 64) -> DataFrame:
-    """All delimited files under ``path`` as (path, row_no, cells).
+def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, length, modified) of all delimited files under ``path`` that hold any bytes; none is
+    opened."""
+    return spark.read.format("binaryFile").options(
+        recursiveFileLookup=True, pathGlobFilter=EXTENSIONS).load(path).select(
+        F.col("path").alias("file"), "length", F.col("modificationTime").alias("modified"))
+
+
+def _literal(file: str) -> str:
+    """A path whose characters a reader takes as they are and not as a pattern."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", file)
+
 
-    ``row_no`` counts the rows of a file's first split from zero and is null further down:
-    headers are only looked for near the top, and nothing else depends on row order.
+def _plain(uri: Column) -> Column:
+    """A file's path as listings give it, from the form of ``_metadata.file_path``."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
+def _separators(lines: DataFrame) -> DataFrame:
+    """(uri, at, alike, most): the separator of each file's ``bare`` lines, which hold no quotes.
+
+    It is the one that most lines hold equally often, at least once. ``alike`` of 0 means that there
+    is none; ``most`` is how often a line holds it at most.
+    """
+    count = [F.col(f"_k{i}") for i in range(len(SEPARATORS))]
+    held = lines.select("uri", *[
+        (F.length("bare") - F.length(F.replace("bare", F.lit(s)))).alias(f"_k{i}")
+        for i, s in enumerate(SEPARATORS)])
+    # lines of one shape are counted before they are shuffled
+    shapes = held.groupBy("uri", *count).agg(F.count("*").alias("lines"))
+    per_count = shapes.select("uri", "lines", F.posexplode(F.array(*count)).alias("at", "k")).groupBy(
+        "uri", "at", "k").agg(F.sum("lines").alias("lines"))
+    per_separator = per_count.groupBy("uri", "at").agg(
+        F.coalesce(F.max(F.when(F.col("k") > 0, F.col("lines"))), F.lit(0)).alias("alike"),
+        F.max("k").alias("most"))
+    best = F.max_by(F.struct("at", "alike", "most"), F.struct("alike", "most", -F.col("at")))
+    return per_separator.groupBy("uri").agg(best.alias("b")).select("uri", "b.*")
+
+
+def file_dialects(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, sep, encoding, multiline, width, markup): how each file that isn't empty is written.
+
+    One pass over the lines. The separator is the one that most lines hold equally often; a file
+    without any goes by its name. Bytes that aren't UTF-8 make a file Latin-1. A line with an odd
+    number of quotes means that cells hold line breaks: such files, which can't be split, are
+    measured on their whole text without what is quoted.
     """
-    names = [f"c{i}" for i in range(width)]
+    lines = spark.read.options(recursiveFileLookup=True, pathGlobFilter=EXTENSIONS).text(path).select(
+        F.col("_metadata.file_path").alias("uri"), "value",
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place")
+    ).where(F.trim("value") != "")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    facts = cut_lineage(lines.groupBy("uri").agg(
+        F.every(F.is_valid_utf8("value")).alias("utf8"), F.max(quotes % 2 == 1).alias("multiline"),
+        F.min_by(F.startswith(F.ltrim("value"), F.lit("<")), "place").alias("markup")), "files")
+    bare = F.regexp_replace("value", '"[^"]*"', "")
+    found = _separators(lines.select("uri", bare.alias("bare")))
+    broken = [r["file"] for r in facts.where("multiline").select(
+        _plain(F.col("uri")).alias("file")).collect()]  # a path each
+    if broken:
+        rows = spark.read.text([_literal(f) for f in broken], wholetext=True).select(
+            F.col("_metadata.file_path").alias("uri"),
+            F.explode(F.split(bare, "\r\n|\r|\n")).alias("bare")).where(F.trim("bare") != "")
+        found = found.join(facts.where("multiline"), "uri", "left_anti").unionByName(_separators(rows))
+    by_name = F.when(F.lower("uri").endswith(".tsv"), F.lit("\t")).otherwise(",")
+    return cut_lineage(facts.join(found, "uri").select(
+        _plain(F.col("uri")).alias("file"),
+        F.when(F.col("alike") > 0, F.get(F.array(*map(F.lit, SEPARATORS)), F.col("at")))
+        .otherwise(by_name).alias("sep"),
+        F.when(F.col("utf8"), F.lit("UTF-8")).otherwise("ISO-8859-1").alias("encoding"),
+        "multiline", (F.col("most") + 1).alias("width"), "markup"), "dialects")
+
+
+def read_cells(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """All delimited files under ``path`` as (path, row_no, cells), each in its own dialect.
+
+    Files of one dialect are one read, wide files apart from narrow ones; every cell of every row
+    is kept. The driver holds the list of files, as the reader does. Files that begin like a page
+    of markup are left out (`file_problems` lists them). ``row_no`` counts the rows of a file's
+    first split from zero and is null further down: headers are only looked for near the top, and
+    nothing else depends on row order.
+    """
+    dialects = file_dialects(spark, path).where(~F.col("markup")).withColumn(
+        "columns", F.pow(F.lit(2), F.ceil(F.log2(F.col("width")))).cast("int"))
+    groups = dialects.groupBy("sep", "encoding", "multiline", "columns").agg(
+        F.sort_array(F.collect_list("file")).alias("files")).orderBy(
+        "sep", "encoding", "multiline", "columns").collect()
+    numbered = [_read(spark, g) for g in groups]
+    if not numbered:
+        return spark.createDataFrame([], "path string, row_no bigint, cells array<string>")
+    rows = reduce(DataFrame.unionByName, numbered)
+    first = rows.where(F.col("_start") == 0).groupBy("path").agg(F.min("_seq").alias("_first"))
+    return rows.join(first, "path", "left").select(
+        "path", F.when(F.col("_start") == 0, F.col("_seq") - F.col("_first")).alias("row_no"), "cells")
+
+
+def _read(spark: SparkSession, group: Row) -> DataFrame:
+    names = [f"c{i}" for i in range(group["columns"])]
     rows = spark.read.schema(", ".join(f"{n} string" for n in names)).options(
-        sep=sep, header=False, recursiveFileLookup=True, pathGlobFilter=EXTENSIONS, escape='"',
-        ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True).csv(path)
-    numbered = rows.select(
+        sep=group["sep"], encoding=group["encoding"], multiLine=group["multiline"], header=False,
+        escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True,
+        maxColumns=len(names) + 1, maxCharsPerColumn=-1).csv([_literal(f) for f in group["files"]])
+    return rows.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_seq"),
-        F.array(*names).alias("cells"))
-    first = numbered.where(F.col("_start") == 0).groupBy("path").agg(F.min("_seq").alias("_first"))
-    return numbered.join(first, "path", "left").select(
-        "path", F.when(F.col("_start") == 0, F.col("_seq") - F.col("_first")).alias("row_no"), "cells")
+        F.monotonically_increasing_id().alias("_seq"), F.array(*names).alias("cells"))
 
 
 def folder_of(path: Column) -> Column:
@@ -65,7 +159,7 @@ def select_fields(cells: DataFrame, fields: dict[str, list[str]],
 
     The header rows, one per file, become positions and meet the data rows in a join that AQE
     turns into a broadcast when they are small and splits when one file dominates. Files that
-    lack a required column are left out; `rejected_files` lists them.
+    lack a required column are left out; `file_problems` lists them.
     """
     wanted = {k: [h.strip().lower() for h in names] for k, names in fields.items()}
     heads = first_rows(cells).select("path", *[position(F.col("header"), names).alias(f"_{k}")
@@ -76,19 +170,30 @@ def select_fields(cells: DataFrame, fields: dict[str, list[str]],
     return body.join(heads, "path").select("path", *[cell(f"_{k}").alias(k) for k in wanted])
 
 
-def rejected_files(cells: DataFrame, fields: dict[str, list[str]],
-                   required: list[str]) -> DataFrame:
+def file_problems(spark: SparkSession, path: str | list[str], fields: dict[str, list[str]],
+                  required: list[str]) -> DataFrame:
+    """(file, problem) of every file under ``path`` that gives no rows, and why.
+
+    Files of no bytes at all aren't listed: Spark's readers leave them out.
+    """
+    dialects = file_dialects(spark, path)
+    heads = first_rows(read_cells(spark, path)).withColumn("file", _plain(F.col("path")))
     missing = [F.when(position(F.col("header"), [h.strip().lower() for h in fields[k]]).isNull(),
                       F.lit(k)) for k in required]
-    return first_rows(cells).select("path", F.array_compact(F.array(*missing)).alias("m")) \
-        .where(F.size("m") > 0).select("path", F.array_join("m", ", ").alias("missing"))
+    lacking = heads.select("file", F.array_join(F.array_compact(F.array(*missing)), ", ").alias("lacks"))
+    known = list_files(spark, path).join(dialects.select("file", "markup"), "file", "left").join(
+        lacking, "file", "left")
+    problem = (F.when(F.col("markup").isNull(), F.lit("no rows"))
+               .when(F.col("markup"), F.lit("looks like HTML or XML"))
+               .when(F.col("lacks") != "", F.concat(F.lit("missing required column(s): "), "lacks")))
+    return known.select("file", problem.alias("problem")).where(F.col("problem").isNotNull())
 
 
 def column_profile(cells: DataFrame, keywords: dict[str, list[str]], samples: int = 3) -> DataFrame:
     """Columns of each file: header name, fill count, a few samples and a suggested field.
 
-    The header is the fullest of the first rows. Samples are taken from the head of the file;
-    fill counts cover all of it.
+    The header is the fullest of the first rows. Samples are the first filled values of a column,
+    however far down they are: those of numbered rows in their order, then the others by value.
     """
     filled = F.size(F.filter("cells", lambda c: F.coalesce(c, F.lit("")) != ""))
     head = cells.where(F.col("row_no") < HEAD_ROWS).groupBy("path").agg(
@@ -99,8 +204,11 @@ def column_profile(cells: DataFrame, keywords: dict[str, list[str]], samples: in
     values = body.select("path", "row_no", F.posexplode("cells").alias("pos", "value")).where(
         F.coalesce("value", F.lit("")) != "")
     counts = values.groupBy("path", "pos").agg(F.count("*").alias("filled"))
-    early = values.where(F.col("row_no") <= F.lit(4 * HEAD_ROWS)).groupBy("path", "pos").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("row_no", "value"))), 1, samples).alias("s"))
+    # each task passes on no more than the first few values of a column
+    order = Window.partitionBy("path", "pos").orderBy(F.col("row_no").asc_nulls_last(), "value")
+    early = values.withColumn("_nth", F.row_number().over(order)).where(
+        F.col("_nth") <= samples).groupBy("path", "pos").agg(
+        F.sort_array(F.collect_list(F.struct("_nth", "value"))).alias("s"))
     columns = head.select("path", "header_row", F.posexplode("header").alias("pos", "name")) \
         .where(F.coalesce("name", F.lit("")) != "")
     out = columns.join(counts, ["path", "pos"], "left").join(early, ["path", "pos"], "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelsight.functions.classify import add_invoice_category
@@ -18,7 +18,8 @@ from parcelsight.rules.layouts import (
     AWB_HEADERS, CARRIER_BY_FILE_TOKEN, GENERIC_LAYOUT, INVOICE_LAYOUTS, Layout,
     MASTER_NAME_HEADERS, MASTER_SKU_HEADERS, MASTER_WEIGHT_HEADERS)
 from parcelsight.session import sql_literal
-from parcelsight.sources.cells import cell, file_of, folder_of, norm_cells, position
+from parcelsight.sources.cells import (
+    cell, file_of, folder_of, list_files, norm_cells, position)
 
 FIELDS = ["amount", "ex_gst", "awb", "awb_2", "order_id", "weight", "zone", "sku", "name", "label",
           "invoice", "invoice_date", "date", "direction", "courier", "tier"]
@@ -300,10 +301,11 @@ def sort_months(buckets: DataFrame, month: str = "month") -> DataFrame:
     return buckets.orderBy(dated.desc(), F.when(dated, F.col(month)).desc_nulls_last(), month)
 
 
-def of_month(cells: DataFrame, month: str) -> DataFrame:
-    """Rows of the files billed in one month; the month is worked out once per file."""
-    wanted = file_months(cells).where(F.col("file_month") == month).select("path")
-    return cells.join(wanted, "path", "left_semi")
+def of_month(spark: SparkSession, folder: str, month: str) -> list[str]:
+    """The files billed in one month, by their paths; none is opened."""
+    listed = list_files(spark, folder).withColumnRenamed("file", "path")
+    return [r["path"] for r in file_months(listed).where(F.col("file_month") == month)
+            .select("path").orderBy("path").collect()]
 
 
 def config_errors(configs: DataFrame) -> DataFrame:

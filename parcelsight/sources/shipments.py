@@ -24,8 +24,8 @@ def shipment_fields(cells: DataFrame) -> DataFrame:
     return raw.where(text(F.col("carrier")) != "")
 
 
-def read_shipment_files(spark: SparkSession, path: str, sep: str = ",", width: int = 160) -> DataFrame:
-    return shipment_fields(read_cells(spark, path, sep, width))
+def read_shipment_files(spark: SparkSession, path: str) -> DataFrame:
+    return shipment_fields(read_cells(spark, path))
 
 
 def scan_shipments(table: DataFrame, window: Window, columns: dict[str, str] | None = None,

@@ -141,7 +141,7 @@ def test_cells_from_files(spark, tmp_path):
     (tmp_path / "a" / "one.csv").write_text('Carrier Partner Name,AWB\n"Blue, Dart",1\n')
     (tmp_path / "a" / "two.csv").write_text("AWB,Other,Carrier Partner Name\n2,x,Swift\n")
     (tmp_path / "a" / "three.csv").write_text("AWB\n3\n")
-    cells = read_cells(spark, str(tmp_path), width=4)
+    cells = read_cells(spark, str(tmp_path))
     got = select_fields(cells, {"carrier": ["Carrier Partner Name"], "awb": ["AWB"]}, ["carrier"])
     assert sorted((r["carrier"], r["awb"]) for r in got.collect()) == [("Blue, Dart", "1"), ("Swift", "2")]
 
