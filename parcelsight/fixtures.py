@@ -91,8 +91,7 @@ FROM (
          ELSE {plus('o_orderdate', '(l_partkey % 72) + 4')} END AS pickup_ts
   FROM lineitem
   JOIN (SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate,
-      concat({pick('o_custkey % 12', '411', '400', '110', '560', '302', '781', '190', '737', '682',
-                   '842', '600', '999')}, lpad(cast(o_custkey % 50 AS string), 3, '0')) AS drop_pin,
+      {_drop_pin(engine, 'o_custkey')} AS drop_pin,
       {pick('o_custkey % 12', 'PUNE', ' mumbai ', 'NEW  DELHI', 'bengaluru', 'JAIPUR', 'Guwahati',
             'SRINAGAR', 'gangtok', 'KOCHI', 'MUZAFFARPUR', 'CHENNAI', '')} AS town,
       {pick('o_custkey % 5', 'SHOPIFY_IN', 'AMAZON_API_NEW', 'CUSTOM', 'B2B', 'MARKETPLACE')}
@@ -163,7 +162,14 @@ SELECT concat('sku-', cast(p_partkey AS string)) AS sku,
 FROM ({_part_names(engine)}) p WHERE p_partkey % 13 <> 0"""
 
 
-# Lanes for every rule, hub and destination pincode that occurs; every fifth is left out.
+def _drop_pin(engine: str, customer: str) -> str:
+    """A customer's pincode."""
+    area = _pick(engine, f"{customer} % 12", "411", "400", "110", "560", "302", "781", "190", "737",
+                 "682", "842", "600", "999")
+    return f"concat({area}, lpad(cast({customer} % 50 AS string), 3, '0'))"
+
+
+# Lanes for every rule, hub and pincode of a customer; every fifth is left out.
 _SLA_LANES = """
 SELECT r.rule, 'primary' AS tier, CASE WHEN r.drop_only = 1 THEN NULL ELSE r.hub END AS warehouse,
   cast(NULL AS string) AS payment, p.drop_pin, cast(NULL AS string) AS pickup_city,
@@ -177,13 +183,13 @@ FROM (SELECT * FROM (VALUES
   (9, 'Shiprocket', 1)) AS a(idx, rule, drop_only)
   JOIN (VALUES (0, 'CAH'), (1, 'BOM'), (2, 'GGN'), (3, 'HOG'), (4, 'HYD'), (5, 'BLR'), (6, 'MAA'))
     AS b(wi, hub) ON a.drop_only = 0 OR b.wi = 0) r
-JOIN (SELECT DISTINCT drop_pin FROM shipments_raw) p
+JOIN (SELECT DISTINCT <<pin>> AS drop_pin FROM customer) p
   ON (cast(p.drop_pin AS int) + r.idx + r.wi) % 5 <> 0
 UNION ALL
 SELECT 'GoSwift', 'default', h.hub, cast(NULL AS string), p.drop_pin, cast(NULL AS string),
   cast(NULL AS string), cast(5 AS double)
 FROM (VALUES (0, 'CAH'), (1, 'BOM'), (2, 'GGN'), (3, 'HOG'), (4, 'HYD'), (5, 'BLR')) AS h(wi, hub)
-JOIN (SELECT DISTINCT drop_pin FROM shipments_raw) p
+JOIN (SELECT DISTINCT <<pin>> AS drop_pin FROM customer) p
   ON (cast(p.drop_pin AS int) + 4 + h.wi) % 5 = 0 AND cast(p.drop_pin AS int) % 2 = 0
 UNION ALL
 SELECT 'GoSwift', 'city', cast(NULL AS string), cast(NULL AS string), cast(NULL AS string),
@@ -200,19 +206,20 @@ SELECT o.rule AS carrier_rule, o.origin AS origin_pin,
 FROM (VALUES ('Bluedart', '412106', 48, 1), ('Bluedart', '', 72, 2), ('Bluedart', '412106', 24, 3),
   ('GoSwift', 'any', 2, 1), ('GoSwift', '12200', 1, 2)) AS o(rule, origin, base, seq)
 JOIN (SELECT drop_pin, cast(drop_pin AS int) % 1000 AS k
-      FROM (SELECT DISTINCT drop_pin FROM shipments_raw) d) p
+      FROM (SELECT DISTINCT <<pin>> AS drop_pin FROM customer) d) p
   ON p.k % 2 = 0"""
 
 
 def fixture_sql(engine: str) -> dict[str, str]:
     """Name -> statement; later statements read earlier names."""
+    pin = _drop_pin(engine, "c_custkey")
     return {
         "shipments_raw": _shipments(engine),
         "oms_orders": _oms(engine),
         "invoice_raw": _INVOICE_LINES,
         "item_master_raw": _item_master(engine),
-        "sla_lanes": _SLA_LANES,
-        "sla_overrides_raw": _SLA_OVERRIDES,
+        "sla_lanes": _SLA_LANES.replace("<<pin>>", pin),
+        "sla_overrides_raw": _SLA_OVERRIDES.replace("<<pin>>", pin),
     }
 
 
@@ -251,8 +258,8 @@ class Fixtures:
 
     @cached_property
     def sla_lanes(self) -> DataFrame:
-        return self._run("sla_lanes", shipments_raw=self.shipments_raw)
+        return self._run("sla_lanes", "customer")
 
     @cached_property
     def sla_overrides_raw(self) -> DataFrame:
-        return self._run("sla_overrides_raw", shipments_raw=self.shipments_raw)
+        return self._run("sla_overrides_raw", "customer")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelsight.functions.scalars import (
     contains_any_sql, digits, lookup, pick, text, to_number)
+from parcelsight.operators.common import spread_blank
 from parcelsight.rules.geo import PICKUP_CITY_ALIAS
 from parcelsight.rules.sla import REVERSE_TAT_DAYS, SLA_RULES, SlaRule
 from parcelsight.session import rule_table
@@ -28,32 +31,68 @@ def add_rule(df: DataFrame, rules: list[SlaRule] = SLA_RULES) -> DataFrame:
         .withColumn("rule", pick(F.col("rule_ix"), [r.name for r in rules])).drop("_car", "_acc")
 
 
-def lane_table(lanes: DataFrame) -> DataFrame:
-    """Primary and default promise side by side, one row per (rule, hub, pincode).
+def _rules_with(rules: list[SlaRule], attribute: str) -> list[str]:
+    return [r.name for r in rules if getattr(r, attribute)]
+
+
+def promise_table(lanes: DataFrame | None, overrides: DataFrame | None,
+                  rules: list[SlaRule] = SLA_RULES) -> DataFrame:
+    """(promise_key, promises): all promises of a rule for a pincode, by where a parcel starts.
 
-    Destination-only rules use hub '*'. One join then answers both lookups.
+    ``promises`` maps 'primary <hub>', 'default <hub>' and 'override <origin>' to days or hours;
+    rules that look at the destination alone have hub '*', and an override from anywhere has origin
+    ANY. A map has a few entries for each warehouse, so the table has no more rows than there are
+    pincodes of a rule, whatever the number of shipments. Default lanes count for the rules that
+    own such a table.
     """
-    return lanes.where(F.col("tier").isin("primary", "default")).groupBy(
-        F.col("rule").alias("lane_rule"),
-        F.coalesce("warehouse", F.lit("*")).alias("lane_hub"),
-        F.col("drop_pin").alias("lane_drop"),
-    ).agg(
-        F.max(F.when(F.col("tier") == "primary", F.col("tat"))).alias("tat_primary"),
-        F.max(F.when(F.col("tier") == "default", F.col("tat"))).alias("tat_default"))
+    parts = []
+    if lanes is not None:
+        owned = (F.col("tier") == "primary") | (
+            (F.col("tier") == "default") & F.col("rule").isin(_rules_with(rules, "has_default_lanes")))
+        hub = F.coalesce("warehouse", F.lit("*"))
+        parts.append(lanes.where(owned).select(
+            "rule", F.col("drop_pin").alias("drop"), F.concat_ws(" ", "tier", hub).alias("place"), "tat"))
+    if overrides is not None:
+        parts.append(override_lookup(overrides).select(
+            F.col("carrier_rule").alias("rule"), F.col("pincode").alias("drop"),
+            F.concat_ws(" ", F.lit("override"), "origin_pin").alias("place"), "tat"))
+    single = reduce(DataFrame.unionByName, parts).groupBy("rule", "drop", "place").agg(
+        F.max("tat").alias("tat"))
+    return single.groupBy(F.concat_ws("|", "rule", "drop").alias("promise_key")).agg(
+        F.map_from_entries(F.collect_list(F.struct("place", "tat"))).alias("promises"))
+
+
+def add_promises(df: DataFrame, lanes: DataFrame | None, overrides: DataFrame | None,
+                 rules: list[SlaRule] = SLA_RULES) -> DataFrame:
+    """Add ``tat_primary``, ``tat_default``, ``overridden`` and ``tat_override`` by one join.
+
+    Which rules are overridden is a scalar of at most one name a rule. An override from the
+    parcel's own origin comes before one from anywhere.
+    """
+    key = spread_blank(F.concat(F.col("rule"), F.lit("|"), digits(F.col("drop_pin"))), F.col("awb"))
+    hub = F.when(pick(F.col("rule_ix"), [r.drop_only for r in rules]), F.lit("*")).otherwise(F.col("hub"))
+    found = df.withColumn("_key", key).join(
+        promise_table(lanes, overrides, rules), F.col("_key") == F.col("promise_key"), "left")
+
+    def promise(kind: str, place: Column) -> Column:
+        return F.element_at("promises", F.concat(F.lit(f"{kind} "), place))
+
+    out = found
+    if lanes is not None:
+        out = out.withColumns({"tat_primary": promise("primary", hub),
+                               "tat_default": promise("default", hub)})
+    if overrides is not None:
+        named = overrides.agg(F.collect_set("carrier_rule").alias("names"))
+        out = out.withColumns({
+            "overridden": F.coalesce(F.array_contains(named.scalar(), F.col("rule")), F.lit(False)),
+            "tat_override": F.coalesce(promise("override", digits(F.col("pickup_pin"))),
+                                       promise("override", F.lit("ANY")))})
+    return out.drop("_key", "promise_key", "promises")
 
 
 def add_lane_tat(df: DataFrame, lanes: DataFrame, rules: list[SlaRule] = SLA_RULES) -> DataFrame:
-    """Add ``tat_primary`` and ``tat_default``. The join strategy is left to AQE."""
-    drop_only = pick(F.col("rule_ix"), [r.drop_only for r in rules])
-    keyed = df.withColumns({
-        "_hub": F.when(drop_only, F.lit("*")).otherwise(F.col("hub")),
-        "_drop": digits(F.col("drop_pin")),
-    })
-    table = lane_table(lanes)
-    return keyed.join(table, (F.col("rule") == F.col("lane_rule"))
-                      & (F.col("_hub") == F.col("lane_hub"))
-                      & (F.col("_drop") == F.col("lane_drop")), "left") \
-        .drop("lane_rule", "lane_hub", "lane_drop", "_hub", "_drop")
+    """Add ``tat_primary`` and ``tat_default``."""
+    return add_promises(df, lanes, None, rules)
 
 
 def add_payment_tat(df: DataFrame, lanes: DataFrame) -> DataFrame:
@@ -82,16 +121,18 @@ def city_key(c: Column) -> Column:
     return F.upper(F.regexp_replace(text(c), r"\s+", " "))
 
 
-def add_city_tat(df: DataFrame, lanes: DataFrame) -> DataFrame:
-    """Add ``tat_city`` from the city-to-city lanes, with pickup aliases."""
-    cities = lanes.where(F.col("tier") == "city").groupBy(
-        F.col("rule").alias("c_rule"), F.col("pickup_city").alias("c_from"),
-        F.col("drop_city").alias("c_to")).agg(F.max("tat").alias("tat_city"))
-    keyed = df.withColumns({"_from": city_key(F.col("city")), "_to": city_key(F.col("drop_city"))}) \
-        .withColumn("_from", F.coalesce(lookup("_from", PICKUP_CITY_ALIAS), F.col("_from")))
-    return keyed.join(cities, (F.col("rule") == F.col("c_rule")) & (F.col("_from") == F.col("c_from"))
-                      & (F.col("_to") == F.col("c_to")), "left") \
-        .drop("c_rule", "c_from", "c_to", "_from", "_to")
+def add_city_tat(df: DataFrame, lanes: DataFrame, rules: list[SlaRule] = SLA_RULES) -> DataFrame:
+    """Add ``tat_city`` from the city-to-city lanes of rules that own some, with pickup aliases."""
+    owners = _rules_with(rules, "has_city_lanes")
+    cities = lanes.where((F.col("tier") == "city") & F.col("rule").isin(owners)).groupBy(
+        F.concat_ws("|", "rule", "pickup_city", "drop_city").alias("city_key")).agg(
+        F.max("tat").alias("tat_city"))
+    start, end = city_key(F.col("city")), city_key(F.col("drop_city"))
+    keyed = df.withColumn("_from", start).withColumn(
+        "_from", F.coalesce(lookup("_from", PICKUP_CITY_ALIAS), F.col("_from")))
+    key = F.when(F.col("rule").isin(owners), F.concat_ws("|", F.col("rule"), F.col("_from"), end))
+    return keyed.withColumn("_key", spread_blank(key, F.col("awb"))).join(
+        cities, F.col("_key") == F.col("city_key"), "left").drop("_from", "_key", "city_key")
 
 
 def clean_overrides(rows: DataFrame, rules: list[SlaRule] = SLA_RULES) -> DataFrame:
@@ -130,26 +171,7 @@ def override_meta(clean: DataFrame, rules: list[SlaRule] = SLA_RULES) -> DataFra
 
 def add_override_tat(df: DataFrame, clean: DataFrame) -> DataFrame:
     """Add ``overridden`` and ``tat_override`` (exact origin first, then ANY)."""
-    table = override_lookup(clean)
-    exact = table.where(F.col("origin_pin") != "ANY").select(
-        F.col("carrier_rule").alias("e_rule"), F.col("origin_pin").alias("e_origin"),
-        F.col("pincode").alias("e_drop"), F.col("tat").alias("tat_exact"))
-    anywhere = table.where(F.col("origin_pin") == "ANY").select(
-        F.col("carrier_rule").alias("a_rule"), F.col("pincode").alias("a_drop"),
-        F.col("tat").alias("tat_any"))
-    ruled = clean.select(F.col("carrier_rule").alias("o_rule")).distinct()
-    keyed = df.withColumns({"_drop": digits(F.col("drop_pin")), "_from": digits(F.col("pickup_pin"))})
-    return (
-        keyed.join(ruled, F.col("rule") == F.col("o_rule"), "left")
-        .join(exact, (F.col("rule") == F.col("e_rule")) & (F.col("_from") == F.col("e_origin"))
-              & (F.col("_drop") == F.col("e_drop")), "left")
-        .join(anywhere, (F.col("rule") == F.col("a_rule")) & (F.col("_drop") == F.col("a_drop")),
-              "left")
-        .withColumns({"overridden": F.col("o_rule").isNotNull(),
-                      "tat_override": F.coalesce("tat_exact", "tat_any")})
-        .drop("o_rule", "e_rule", "e_origin", "e_drop", "tat_exact", "a_rule", "a_drop", "tat_any",
-              "_drop", "_from")
-    )
+    return add_promises(df, None, clean)
 
 
 def score_sla(df: DataFrame, rules: list[SlaRule] = SLA_RULES,
@@ -213,6 +235,6 @@ def classify_sla(shipments: DataFrame, lanes: DataFrame, overrides: DataFrame,
                  reverse_days: int = REVERSE_TAT_DAYS) -> DataFrame:
     """The whole SLA decision; re-run it after an override change to re-score."""
     matched = add_rule(shipments, rules)
-    looked = add_override_tat(add_city_tat(add_lane_tat(matched, lanes, rules), lanes), overrides)
+    looked = add_promises(add_city_tat(matched, lanes, rules), lanes, overrides, rules)
     return score_sla(looked, rules, reverse_days).drop(
         "tat_primary", "tat_default", "tat_city", "tat_override")
