@@ -11,6 +11,8 @@ from parcelsight.operators.common import with_whole
 from parcelsight.functions.scalars import percent, ratio, rounded
 from parcelsight.rules import shipments as S
 
+#: Length of the intervals that gaps are counted in before the middle one is walked: 67 seconds.
+INTERVAL_US = 1 << 26
 _COUNTERS = ("n", "picked", "delivered", "first_attempt", "rto")
 _DURATIONS = ("p2o", "p2d")
 
@@ -34,10 +36,11 @@ def has_key(df: DataFrame, keys: list[str]) -> DataFrame:
 def kpi_block(df: DataFrame, keys: list[str], carry: dict[str, str] | None = None) -> DataFrame:
     """Volume, success, first-attempt rate, exact median O2S and mean durations per key.
 
-    Two steps. The first groups by (keys, o2s) with map-side combining, so a key holding a
-    third of all rows arrives as one row per distinct o2s value. The second walks those
-    counts in o2s order to find the exact median; its window and its final aggregate share
-    one shuffle on the keys. Sums are whole numbers, so the result does not depend on order.
+    Rows are first grouped by (keys, o2s) with map-side combining. The median is then found in two
+    bounded walks over those counts: within each interval of ``INTERVAL_US``, so a key holding most
+    rows, each with a gap of its own, is spread over many tasks, and over the intervals of each key,
+    whose number the length of the gaps bounds. Both walks read the shuffle of the first grouping.
+    Sums are whole numbers, so the result does not depend on order.
     """
     carry = carry or {}
     groups = [F.col(k) for k in keys] or [F.lit(0).alias("_all")]
@@ -50,14 +53,21 @@ def kpi_block(df: DataFrame, keys: list[str], carry: dict[str, str] | None = Non
                  F.sum(F.pmod(us, F.lit(1000000))).alias(f"{d}_u")]
     sums += [F.count("attempts").alias("att_n"), F.sum("attempts").alias("att_s")]
     sums += [F.min(src).alias(out) for out, src in carry.items()]
-    cells = has_key(df, keys).groupBy(*groups, F.col("o2s_us")).agg(*sums)
+    interval = F.coalesce(F.floor(F.col("o2s_us") / INTERVAL_US).cast("bigint"), F.lit(-1))
+    cells = has_key(df, keys).groupBy(*groups, interval.alias("_interval"), F.col("o2s_us")).agg(*sums)
 
-    by_key = Window.partitionBy(*names)
     valued = F.when(F.col("o2s_us").isNotNull(), F.col("n"))
-    walked = cells.withColumns({
-        "_below": F.sum(valued).over(by_key.orderBy(F.col("o2s_us").asc_nulls_first())),
-        "_all_n": F.sum(valued).over(by_key),
-    })
+    place = [*names, "_interval"]
+    inner = cells.withColumn("_within", F.sum(valued).over(Window.partitionBy(*place).orderBy("o2s_us")))
+    # hashing every column keeps both readers of the cells alike, so they share one shuffle
+    intervals = cells.groupBy(*place).agg(
+        F.sum(valued).alias("_in"), F.max(F.xxhash64(*cells.columns)).alias("_same"))
+    by_key = Window.partitionBy(*names)
+    earlier = by_key.orderBy("_interval").rowsBetween(Window.unboundedPreceding, -1)
+    walked = inner.join(intervals.select(
+        *place, F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_in").over(by_key).alias("_all_n"), "_same"), place).withColumn(
+        "_below", F.col("_before") + F.col("_within")).where(F.col("_same").isNotNull())
     low = F.min(F.when(F.col("_below") * 2 >= F.col("_all_n"), F.col("o2s_us")))
     high = F.min(F.when(F.col("_below") * 2 > F.col("_all_n"), F.col("o2s_us")))
     totals = [F.sum(k).alias(k) for k in _COUNTERS]
