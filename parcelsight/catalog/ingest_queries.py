@@ -153,15 +153,18 @@ ing("generic", "Ekart", awb="''", ex="NULL", order="order_id", sku="sku", produc
 
 
 def configs(i: Inputs) -> DataFrame:
-    """Carrier mappings named after the suppliers; only the first nation's supplier is complete."""
+    """Carrier mappings named after all suppliers: the first fits its file, others lack an id, every
+    seventh is bound to a sheet that isn't there, every eleventh has other headers."""
     fields = F.create_map(*[F.lit(v) for pair in (
         ("amount", "Charge (₹)"), ("awb", "Docket"), ("weight_kg", "Kilos"), ("zone", "Lane"),
         ("invoice_number", "Bill"), ("invoice_date", "Shipped")) for v in pair])
-    broken = F.create_map(F.lit("amount"), F.lit("Charge"))
-    complete = F.col("s_suppkey") == 0
-    return i.fx.table("supplier").where("s_suppkey < 50").select(
-        F.col("s_name").alias("carrier"), F.when(complete, fields).otherwise(broken).alias("fields"),
-        F.lit("included").alias("gst_mode"), F.lit(18.0).alias("gst_rate"))
+    broken = F.create_map(F.lit("amount"), F.lit("Charge"), F.lit("awb"), F.lit(" (x) "))
+    other = F.create_map(F.lit("amount"), F.lit("Fee"), F.lit("order_id"), F.lit("Docket"))
+    key = F.col("s_suppkey")
+    return i.fx.table("supplier").select(
+        F.col("s_name").alias("carrier"), F.when(key % 7 == 0, fields).when(key % 11 == 0, other)
+        .otherwise(broken).alias("fields"), F.lit("included").alias("gst_mode"), F.lit(18.0).alias("gst_rate"),
+        F.when((key % 7 == 0) & (key > 0), F.lit("Sheet 9")).alias("sheet"))
 
 
 @query("ing_configured", statement("""
@@ -170,20 +173,22 @@ SELECT (SELECT s_name FROM supplier WHERE s_suppkey = 0) AS carrier, id AS awb,
   """ + _STRIPPED + """ AS amount_ex_gst, invoice_number, m AS service_month_key, '' AS direction
 FROM bill"""))
 def ing_configured(i):
-    return lines_of(SI.parse_lines(rendered(i, "configured"), SI.layouts_from_configs(configs(i))))
+    return lines_of(SI.parse_lines(rendered(i, "configured"), configs(i)))
 
 
 @query("ing_validate_config", statement("""
-SELECT s_name AS carrier, CASE WHEN s_suppkey = 0 THEN NULL ELSE 'no AWB or order id column' END AS error
-FROM supplier WHERE s_suppkey < 50"""))
+SELECT s_name AS carrier, CASE WHEN s_suppkey = 0 THEN NULL
+  WHEN s_suppkey % 7 = 0 OR s_suppkey % 11 = 0 THEN 'no lines on the sample'
+  ELSE 'no AWB or order id column' END AS error
+FROM supplier"""))
 def ing_validate_config(i):
-    return SI.config_errors(configs(i))
+    return SI.config_errors(configs(i), rendered(i, "configured"))
 
 
 @query("src_carrier_configs", statement("""
 SELECT s_name AS carrier, CASE WHEN s_suppkey % 2 = 0 THEN 'add_18' ELSE 'included' END AS gst_mode,
   CASE WHEN s_suppkey % 2 = 0 THEN 12.0e0 ELSE 18.0e0 END AS gst_rate
-FROM supplier WHERE s_suppkey < 50"""))
+FROM supplier"""))
 def src_carrier_configs(i):
     local = configs(i)
     even = F.substring("carrier", -1, 1).cast("int") % 2 == 0

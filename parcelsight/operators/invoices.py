@@ -88,7 +88,7 @@ def top_skus_by_category(lines: DataFrame, top: int = 8) -> DataFrame:
         "category", "rank", "item", _spend(), "shipments", _avg())
 
 
-def spend_by_sku(lines: DataFrame, top: int | None = 500) -> DataFrame:
+def spend_by_sku(lines: DataFrame, top: int | None = None) -> DataFrame:
     g = lines.groupBy(sku_key().alias("item")).agg(
         *_sums(), F.min("category").alias("category"), F.min(blank_to_null(F.col("product"))).alias("p"))
     out = g.withColumn("name", F.coalesce("p", "item"))
@@ -227,7 +227,7 @@ def _first_values(lines: DataFrame) -> DataFrame:
     return once.unionByName(alone).groupBy("item").agg(F.sum(cents(F.col("value"))).alias("value_paise"))
 
 
-def spend_by_product(lines: DataFrame, top: int | None = 500) -> DataFrame:
+def spend_by_product(lines: DataFrame, top: int | None = None) -> DataFrame:
     """Spend and selling value by SKU text, value counted once per order."""
     item = F.coalesce(blank_to_null(F.upper(F.trim("sku"))), F.lit(NO_SKU))
     name = F.coalesce(blank_to_null(F.trim("product")), blank_to_null(F.trim("sku_name")))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from parcelsight.functions.classify import add_invoice_category
 from parcelsight.functions.scalars import (
-    blank_to_null, braced_name, bracketed_skus, clean_name, first_word, norm_awb, norm_header, pick,
-    rounded, text, title_case, to_money, unwrap_formula)
+    blank_to_null, braced_name, bracketed_skus, clean_name, first_word, lookup, norm_awb,
+    norm_header, pick, rounded, text, title_case, to_money, unwrap_formula)
 from parcelsight.functions.times import (
     add_month_of_name, date_label, invoice_date, month_key, month_label)
 from parcelsight.rules.layouts import (
@@ -23,46 +23,66 @@ from parcelsight.sources.cells import (
 
 FIELDS = ["amount", "ex_gst", "awb", "awb_2", "order_id", "weight", "zone", "sku", "name", "label",
           "invoice", "invoice_date", "date", "direction", "courier", "tier"]
-MAX_CONFIGS = 1000
-
-
-def layouts_from_configs(configs: DataFrame) -> list[Layout]:
-    """Registered column mappings as layouts.
-
-    Configurations are job metadata, a row per onboarded carrier; their number is checked
-    before they reach the driver.
+#: What a registered mapping calls a field -> the field it fills.
+CONFIG_FIELDS = {"amount": "amount", "amount_ex_gst": "ex_gst", "awb": "awb", "order_id": "order_id",
+                 "weight_kg": "weight", "zone": "zone", "sku": "sku", "sku_name": "name",
+                 "invoice_number": "invoice", "invoice_date": "date"}
+#: What all registered mappings have in common; the rest are columns of their table.
+CONFIGURED = Layout("configured", scan=15, gst="given_or_strip", needs="id+amount",
+                    category="label_is_name", invoice="optional")
+#: The order layouts are tried in: built-in ones, registered ones, the generic one.
+LAYOUTS = [*INVOICE_LAYOUTS, CONFIGURED, GENERIC_LAYOUT]
+_CONFIGURED_AT = len(INVOICE_LAYOUTS)
+
+
+def config_fields(configs: DataFrame) -> DataFrame:
+    """(config, sheet, adds, gst_rate, field, header): a row for each mapped field of each carrier.
+
+    ``configs`` holds carrier, fields (a map), gst_mode, gst_rate and, where mappings are bound to
+    one sheet, ``sheet``; a mapping without an amount or without an id is left out.
     """
-    rows = configs.orderBy("carrier").limit(MAX_CONFIGS + 1).collect()
-    if len(rows) > MAX_CONFIGS:
-        raise ValueError(f"more than {MAX_CONFIGS} carrier configurations")
-    return [layout for layout in map(_configured, rows) if layout]
-
-
-def _header_text(name) -> str:
-    import re
-    s = re.sub(r"\(.*?\)", " ", str(name or "").replace("\n", " ").replace("₹", " ").lower())
-    return " ".join(s.split())
-
-
-def _configured(row) -> Layout | None:
-    fields = {k: _header_text(v) for k, v in (row["fields"] or {}).items() if _header_text(v)}
-    ids = tuple(fields[k] for k in ("awb", "order_id") if k in fields)
-    if "amount" not in fields or not ids:
-        return None
-    names = {"amount": "amount", "amount_ex_gst": "ex_gst", "awb": "awb", "order_id": "order_id",
-             "weight_kg": "weight", "zone": "zone", "sku": "sku", "sku_name": "name",
-             "invoice_number": "invoice", "invoice_date": "date"}
-    adds = (row["gst_mode"] or "included").lower() in ("add_18", "ex_gst")
-    return Layout(
-        f"configured:{row['carrier']}", (fields["amount"],), (ids,), scan=15, carrier=row["carrier"],
-        fields={names[k]: [h] for k, h in fields.items() if k in names},
-        gst="add" if adds else "given_or_strip", gst_rate=float(row["gst_rate"] or 18.0),
-        needs="id+amount", category="label_is_name", invoice="optional")
-
-
-def all_layouts(configured: list[Layout] = ()) -> list[Layout]:
-    """Built-in layouts, then registered ones, then the generic one: the order they are tried."""
-    return [*INVOICE_LAYOUTS, *configured, GENERIC_LAYOUT]
+    sheet = F.col("sheet") if "sheet" in configs.columns else F.lit(None).cast("string")
+    rows = configs.select(
+        F.col("carrier").alias("config"), F.lower(text(sheet)).alias("sheet"),
+        F.lower(F.coalesce("gst_mode", F.lit("included"))).isin("add_18", "ex_gst").alias("adds"),
+        F.coalesce(F.nullif("gst_rate", F.lit(0.0)), F.lit(18.0)).alias("gst_rate"),
+        F.explode("fields").alias("key", "name")).select(
+        "config", "sheet", "adds", "gst_rate",
+        lookup("key", CONFIG_FIELDS).alias("field"), norm_header(F.col("name")).alias("header")).where(
+        F.col("field").isNotNull() & (F.coalesce("header", F.lit("")) != ""))
+    usable = rows.groupBy("config").agg(_has_ids(F.col("field")).alias("usable")).where("usable")
+    return rows.join(usable.select("config"), "config", "left_semi")
+
+
+def _has_ids(field: Column) -> Column:
+    """Whether the fields of a group hold an amount, and an AWB or an order id."""
+    return (F.max(field == "amount")) & (F.max(field.isin("awb", "order_id")))
+
+
+def configured_headers(cells: DataFrame, configs: DataFrame) -> DataFrame:
+    """(path, layout, config, adds, gst_rate, header_row, _<field>): where a registered mapping fits.
+
+    Relational division: the distinct rows at the heads of files meet the mapped headers by name,
+    and a mapping fits where its amount and one of its ids are among them. Neither the mappings
+    nor the files pass through the driver, and files that share a header are matched once.
+    """
+    head = cells.where(F.col("row_no") < CONFIGURED.scan).select(
+        "path", "row_no", norm_cells(F.col("cells")).alias("names"))
+    known = head.select(F.xxhash64("names").alias("id"), "names").distinct()
+    named = known.select("id", "names", F.posexplode("names").alias("pos", "header")).where(
+        F.coalesce("header", F.lit("")) != "")
+    met = named.join(config_fields(configs), "header")
+    fits = met.groupBy("id", "names", "config", "sheet", "adds", "gst_rate").agg(
+        _has_ids(F.col("field")).alias("fits"),
+        *[F.min(F.when(F.col("field") == f, F.col("pos"))).cast("int").alias(f"_{f}") for f in FIELDS]
+    ).where("fits").drop("fits")
+    at = head.withColumn("id", F.xxhash64("names")).join(fits, ["id", "names"]).where(
+        (F.col("sheet") == "") | F.contains(F.lower(file_of(F.col("path"))), F.col("sheet")))
+    places = [f"_{f}" for f in FIELDS]
+    return at.groupBy("path", "config", "adds", "gst_rate").agg(
+        F.min(F.struct("row_no", *places)).alias("h")).select(
+        "path", F.lit(_CONFIGURED_AT).alias("layout"), "config", "adds", "gst_rate",
+        F.col("h.row_no").alias("header_row"), *[F.col(f"h.{p}").alias(p) for p in places])
 
 
 def _is_header(layout: Layout, names: Column) -> Column:
@@ -76,30 +96,35 @@ def _position_sql(names: list[str]) -> str:
     return f"CAST(coalesce({tries}) - 1 AS INT)"
 
 
-def header_rows(cells: DataFrame, layouts: list[Layout]) -> DataFrame:
-    """Candidate (file, layout) pairs with the position of every field and the facts of the file.
+def header_rows(cells: DataFrame, configs: DataFrame | None = None) -> DataFrame:
+    """Candidate (file, layout, config) triples with the position of every field and the facts of the file.
 
     Only the first rows of each file are looked at. What depends on the file alone (month and
     carrier in its name, invoice number) is worked out here, once per file.
     """
     head = cells.where(F.col("row_no") < 15).withColumn("names", norm_cells(F.col("cells")))
     fits = F.array_compact(F.array(*[F.when(_is_header(l, F.col("names")), F.lit(i))
-                                     for i, l in enumerate(layouts)]))
+                                     for i, l in enumerate(LAYOUTS) if l is not CONFIGURED]))
     found = head.select("path", "row_no", "names", F.explode(fits).alias("layout"))
     one = found.groupBy("path", "layout").agg(F.min(F.struct("row_no", "names")).alias("h")).select(
         "path", "layout", F.col("h.row_no").alias("header_row"), F.col("h.names").alias("names"))
     positions = []
     for f in FIELDS:
         branches = " ".join(f"WHEN {i} THEN {_position_sql(l.fields[f])}"
-                            for i, l in enumerate(layouts) if f in l.fields)
+                            for i, l in enumerate(LAYOUTS) if f in l.fields)
         positions.append(F.expr(f"CASE layout {branches} END").alias(f"_{f}"))
+    one = one.select("path", "layout", F.lit("").alias("config"), F.lit(False).alias("adds"),
+                     F.lit(18.0).alias("gst_rate"), "header_row", *positions)
+    if configs is not None:
+        one = one.unionByName(configured_headers(cells, configs))
     stem = file_of(F.col("path"))
     numbered = F.coalesce(blank_to_null(F.regexp_extract(stem, r"#\s*([A-Za-z0-9][\w-]*)", 1)),
                           blank_to_null(F.regexp_extract(stem, r"([A-Za-z]{2,}\d[\w-]*)", 1)), stem)
     one = add_month_of_name(one.withColumn("_stem", stem), "_stem", "_name_key", "_name_label")
-    files = Window.partitionBy("path")  # a handful of candidate layouts per file
+    files = Window.partitionBy("path")  # the candidate layouts of a file
     return one.select(
-        "path", "layout", "header_row", *positions, "_stem", numbered.alias("_numbered"),
+        "path", *_CHOICE, "adds", "gst_rate", "header_row", *[f"_{f}" for f in FIELDS], "_stem",
+        numbered.alias("_numbered"),
         "_name_key", "_name_label", carrier_from_file(stem).alias("_file_carrier"),
         F.count("*").over(files).alias("_choices"))
 
@@ -123,26 +148,37 @@ def file_months(rows: DataFrame) -> DataFrame:
                         F.when(dated, F.col("_fl")).otherwise(F.col("_nl")).alias("file_label"))
 
 
-_FILE_FACTS = ["_stem", "_numbered", "_name_key", "_name_label", "_file_carrier"]
+#: What tells the candidates of a file apart.
+_CHOICE = ["layout", "config"]
+_FILE_FACTS = ["adds", "gst_rate", "_stem", "_numbered", "_name_key", "_name_label", "_file_carrier"]
 
 
-def _settings(layouts: list[Layout]):
-    def setting(attribute: str) -> Column:
-        return pick(F.col("layout"), [getattr(l, attribute) for l in layouts])
-    return setting
+def _setting(attribute: str) -> Column:
+    """A layout's setting; what registered mappings set themselves comes from their columns."""
+    built_in = pick(F.col("layout"), [getattr(l, attribute) for l in LAYOUTS])
+    own = F.col("layout") == _CONFIGURED_AT
+    if attribute == "gst":
+        return F.when(own & F.col("adds"), F.lit("add")).otherwise(built_in)
+    if attribute == "gst_rate":
+        return F.when(own, F.col("gst_rate")).otherwise(built_in)
+    if attribute == "carrier":
+        return F.when(own, F.col("config")).otherwise(built_in)
+    if attribute == "name":
+        return F.when(own, F.concat(F.lit("configured:"), "config")).otherwise(built_in)
+    return built_in
 
 
-def _texts(rows: DataFrame, layouts: list[Layout], fields: list[str], *keep: str) -> DataFrame:
+def _texts(rows: DataFrame, fields: list[str], *keep: str) -> DataFrame:
     """The chosen fields as trimmed text, spreadsheet formulas unwrapped."""
-    wrapped = _settings(layouts)("formulas")
-    return rows.select("path", "layout", *keep, *[
+    wrapped = _setting("formulas")
+    return rows.select("path", *_CHOICE, *keep, *[
         F.when(wrapped, unwrap_formula(cell(f"_{f}"))).otherwise(text(cell(f"_{f}"))).alias(f)
         for f in fields])
 
 
-def _is_line(layouts: list[Layout]) -> Column:
+def _is_line() -> Column:
     """Whether a row is a billed line by its layout's rule; banners and totals are not."""
-    needs = _settings(layouts)("needs")
+    needs = _setting("needs")
     amount = to_money(F.col("amount")).isNotNull()
     awb = (F.col("awb") != "") | (F.col("awb_2") != "")
     invoice, order = F.col("invoice") != "", F.col("order_id") != ""
@@ -155,45 +191,53 @@ def _is_line(layouts: list[Layout]) -> Column:
     )
 
 
-def _file_facts(rows: DataFrame, layouts: list[Layout]) -> DataFrame:
+def _line_counts(rows: DataFrame) -> DataFrame:
+    """(path, layout, config, m, lines, n): rows and billed lines by the month of their date."""
+    marked = _texts(rows, ["amount", "awb", "awb_2", "order_id", "invoice", "date"]).select(
+        "path", *_CHOICE, month_key(invoice_date(F.col("date"))).alias("m"), _is_line().alias("line"))
+    return marked.groupBy("path", *_CHOICE, "m").agg(
+        F.count_if("line").alias("lines"), F.count("*").alias("n"))
+
+
+def _file_facts(rows: DataFrame) -> DataFrame:
     """Per file: the first layout that yields lines, and the commonest month of its dates.
 
     Only files that fit several layouts, or carry no month where their layout needs one, take
     part; everything is counted before it is shuffled.
     """
-    by_file = _settings(layouts)("period") == "file"
+    by_file = _setting("period") == "file"
     asked = rows.where((F.col("_choices") > 1) | (by_file & F.col("_name_key").startswith("zzzz")))
-    marked = _texts(asked, layouts, ["amount", "awb", "awb_2", "order_id", "invoice", "date"]).select(
-        "path", "layout", month_key(invoice_date(F.col("date"))).alias("m"),
-        _is_line(layouts).alias("line"))
-    months = marked.groupBy("path", "layout", "m").agg(
-        F.count_if("line").alias("lines"), F.count("*").alias("n"))
-    per_layout = months.groupBy("path", "layout").agg(
+    per_layout = _line_counts(asked).groupBy("path", *_CHOICE).agg(
         F.sum("lines").alias("lines"),
         F.max(F.when(F.col("m") != "", F.struct("n", "m"))).alias("top"))
     return per_layout.where(F.col("lines") > 0).groupBy("path").agg(
-        F.min(F.struct("layout", "top")).alias("w")).select(
-        "path", F.col("w.layout").alias("_winner"), F.col("w.top.m").alias("_modal"))
+        F.min(F.struct(*_CHOICE, "top")).alias("w")).select(
+        "path", F.struct(*[F.col(f"w.{c}") for c in _CHOICE]).alias("_winner"),
+        F.col("w.top.m").alias("_modal"))
+
 
+def _bodies(cells: DataFrame, heads: DataFrame) -> DataFrame:
+    return cells.join(heads, "path").where(F.coalesce("row_no", F.lit(1 << 40)) > F.col("header_row"))
 
-def parse_lines(cells: DataFrame, configured: list[Layout] = ()) -> DataFrame:
+
+def parse_lines(cells: DataFrame, configs: DataFrame | None = None) -> DataFrame:
     """Invoice lines of every recognised file, with file, layout and carrier.
 
+    ``configs`` are registered column mappings, tried after the built-in layouts by carrier.
+
     Header positions, one row per file and layout, join the data rows; AQE broadcasts them when
     they are small and splits a dominating file otherwise.
     """
-    layouts = all_layouts(configured)
-    rows = cells.join(header_rows(cells, layouts), "path").where(
-        F.coalesce("row_no", F.lit(1 << 40)) > F.col("header_row"))
-    chosen = rows.join(_file_facts(rows, layouts), "path", "left").where(
-        F.coalesce("_winner", F.col("layout")) == F.col("layout"))
-    lines = _texts(chosen, layouts, FIELDS, *_FILE_FACTS, "_modal").where(_is_line(layouts))
-    return _typed_lines(lines, layouts)
+    rows = _bodies(cells, header_rows(cells, configs))
+    own = F.struct(*_CHOICE)
+    chosen = rows.join(_file_facts(rows), "path", "left").where(F.coalesce("_winner", own) == own)
+    lines = _texts(chosen, FIELDS, *_FILE_FACTS, "_modal").where(_is_line())
+    return _typed_lines(lines)
 
 
-def _typed_lines(lines: DataFrame, layouts: list[Layout]) -> DataFrame:
+def _typed_lines(lines: DataFrame) -> DataFrame:
     """Typed line values, GST split, service month, invoice number and category."""
-    setting = _settings(layouts)
+    setting = _setting
     gst, period, rule = setting("gst"), setting("period"), setting("invoice")
     mult = 1.0 + setting("gst_rate") / 100.0
     bracketed = setting("bracketed")
@@ -225,7 +269,7 @@ def _typed_lines(lines: DataFrame, layouts: list[Layout]) -> DataFrame:
         .when(by_day, month_label(F.col("_day"))).otherwise(""),
     })
     out = dated.select(
-        "path", "layout", "carrier", F.when(F.col("_awb") != "", F.col("_awb"))
+        "path", *_CHOICE, "carrier", F.when(F.col("_awb") != "", F.col("_awb"))
         .otherwise(norm_awb(F.col("awb_2"))).alias("awb"), "order_id", "sku", "name", "label",
         F.when(setting("grams"), F.when(F.col("_weight") != 0, F.col("_weight") / 1000.0))
         .otherwise(F.col("_weight")).alias("weight_kg"), title_case("zone").alias("zone"),
@@ -274,9 +318,9 @@ def master_rows(cells: DataFrame) -> DataFrame:
                        cell("_vol_kg").alias("vol_kg"))
 
 
-def route_files(cells: DataFrame, configured: list[Layout] = ()) -> DataFrame:
+def route_files(cells: DataFrame, configs: DataFrame | None = None) -> DataFrame:
     """Kind of every file: the layout that yields lines, else master, else unrecognised."""
-    lines = parse_lines(cells, configured).groupBy("path").agg(
+    lines = parse_lines(cells, configs).groupBy("path").agg(
         F.min("layout").alias("layout"), F.count("*").alias("lines"))
     master = master_rows(cells).groupBy("path").agg(F.count("*").alias("master_rows"))
     files = cells.select("path").distinct()
@@ -308,11 +352,22 @@ def of_month(spark: SparkSession, folder: str, month: str) -> list[str]:
             .select("path").orderBy("path").collect()]
 
 
-def config_errors(configs: DataFrame) -> DataFrame:
-    """Mappings that cannot work: no amount, or neither AWB nor order id."""
-    def mapped(key: str) -> Column:
-        return F.coalesce(norm_header(F.get_json_object(F.to_json("fields"), f"$.{key}")), F.lit("")) != ""
+def config_errors(configs: DataFrame, sample: DataFrame | None = None) -> DataFrame:
+    """(carrier, error): mappings that cannot work, null where nothing is wrong.
 
-    ids = mapped("awb") | mapped("order_id")
-    return configs.select("carrier", F.when(~mapped("amount"), F.lit("no amount column"))
-                          .when(~ids, F.lit("no AWB or order id column")).alias("error"))
+    A mapping must name an amount, and an AWB or an order id; and where the cells of a ``sample``
+    are given, it must yield lines from them, whatever other layouts do.
+    """
+    keyed = configs.select("carrier", F.transform(F.map_entries("fields"), lambda e: F.when(
+        F.coalesce(norm_header(e["value"]), F.lit("")) != "", e["key"])).alias("keys"))
+    keys = F.coalesce("keys", F.array().cast("array<string>"))
+    amount, ids = F.array_contains(F.array_compact(keys), "amount"), F.arrays_overlap(
+        F.array_compact(keys), F.array(F.lit("awb"), F.lit("order_id")))
+    plain = F.when(~amount, F.lit("no amount column")).when(~ids, F.lit("no AWB or order id column"))
+    if sample is None:
+        return keyed.select("carrier", plain.alias("error"))
+    heads = configured_headers(sample, configs)
+    yielding = _line_counts(_bodies(sample, heads)).where("lines > 0").select(
+        F.col("config").alias("carrier"), F.lit(True).alias("yields")).distinct()
+    return keyed.join(yielding, "carrier", "left").select("carrier", F.coalesce(
+        plain, F.when(F.col("yields").isNull(), F.lit("no lines on the sample"))).alias("error"))

@@ -89,3 +89,32 @@ def test_profile_reaches_the_end_of_a_file(spark):
                                   "path string, row_no bigint, cells array<string>").repartition(5)
     got = {r.name: (r.filled, r.samples) for r in CE.column_profile(cells, {"awb": ["awb"]}).collect()}
     assert got == {"AWB": (999, "1 | 2 | 3"), "Remark": (2, "late | late")}
+
+
+CONFIGS = "carrier string, fields map<string,string>, gst_mode string, gst_rate double, sheet string"
+
+
+def test_registered_mappings_are_data(spark):
+    """Many mappings, none of which passes through the driver; the first by name that fits wins."""
+    maps = [(f"carrier {k:04d}", {"amount": f"Fee {k}", "awb": "Docket"}, "included", 18.0, None)
+            for k in range(1500)]
+    maps += [("Acme", {"amount": " Charge (₹) ", "awb": "DOCKET", "zone": "Lane"}, "add_18", 12.0, ""),
+             ("Beta", {"amount": "charge", "awb": "docket"}, None, None, None),
+             ("Aaa", {"amount": "charge", "awb": "docket"}, None, None, "Sheet 9"),
+             ("Nil", None, None, None, None), ("Half", {"amount": "charge"}, None, None, None)]
+    configs = spark.createDataFrame(maps, CONFIGS)
+    rows = [("/f/x.csv", 0, ["Statement", None, None]), ("/f/x.csv", 1, ["Lane", "Charge", "Docket"]),
+            ("/f/x.csv", None, ["north", "100", "A1"]), ("/f/x.csv", None, [None, None, "Total"]),
+            ("/f/sheet 9 y.csv", 0, ["Docket", "Charge", None]), ("/f/sheet 9 y.csv", None, ["B1", "118", None]),
+            ("/f/z.csv", 0, ["Fee 1499", "Docket", None]), ("/f/z.csv", None, ["59", "C1", None])]
+    cells = spark.createDataFrame(rows, "path string, row_no bigint, cells array<string>")
+    got = {(r.layout, r.carrier, r.awb, r.zone, r.amount, r.amount_ex_gst)
+           for r in SI.parse_lines(cells, configs).collect()}
+    assert got == {("configured:Acme", "Acme", "A1", "North", 112.0, 100.0),
+                   ("configured:Aaa", "Aaa", "B1", "", 118.0, 100.0),
+                   ("configured:carrier 1499", "carrier 1499", "C1", "", 59.0, 50.0)}
+    errors = {r.carrier: r.error for r in SI.config_errors(configs, cells).collect()}
+    assert errors["Acme"] is None and errors["Beta"] is None and errors["Aaa"] is None
+    assert errors["Nil"] == "no amount column" and errors["Half"] == "no AWB or order id column"
+    assert errors["carrier 0007"] == "no lines on the sample" and errors["carrier 1499"] is None
+    assert {r.error for r in SI.config_errors(configs).where("carrier LIKE 'carrier %'").collect()} == {None}
