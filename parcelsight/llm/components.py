@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = written(
             both.where("v > u").join(smallest, "u")
             .select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "components")
-        least = written(large.groupBy("hi").agg(F.min("lo").alias("m")), "components")
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         others = (
             large.join(least, "hi").where("lo != m")
             .select(F.col("lo").alias("hi"), F.col("m").alias("lo")))
