@@ -52,9 +52,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         #: Tokens that are looked for in the text as it stands, before letter case is dropped.
-        self.special = re.compile("|".join(
-            re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
-            or r"(?!)", re.I)
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)", re.I)
+        self.special_words = any(t.isalnum() for t in special)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a run of letters
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -78,8 +78,8 @@ class WordEncoder:
         known = self.known
         stems = {w: w.rstrip(TAIL) for w in new}
         stems = {w: s if _ends_plainly(s) else w for w, s in stems.items()}
-        lower = {s: s.lower() if s.isascii() and not self.special.search(s) else s
-                 for s in stems.values()}
+        ordinary = lambda s: not self.special_words and s.isalnum() or not self.special.search(s)
+        lower = {s: s.lower() if s.isascii() and ordinary(s) else s for s in stems.values()}
         tails = {w[len(s):] for w, s in stems.items()}
         wanted = set(lower.values()).union(tails).difference(known)
         plain = [s for s in wanted if s.isalpha()]
@@ -97,7 +97,7 @@ class WordEncoder:
             known.update(zip(group, map(data.__getitem__, map(slice, [0, *cuts], cuts)),
                              strict=True))
         known.update({w: known[lower[s]] + known[w[len(s):]] for w, s in stems.items()})
-        self.bytes += sum(2 * len(w) + 2 * len(known[w]) + 2 * ENTRY_BYTES for w in new)
+        self.bytes += 2 * ENTRY_BYTES * len(new) + 4 * sum(map(len, new))
 
     def _learn_each(self, words: list[str]) -> None:
         for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False),
