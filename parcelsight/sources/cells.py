@@ -35,19 +35,27 @@ def _plain(uri: Column) -> Column:
     return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
 
 
-def _separators(lines: DataFrame) -> DataFrame:
-    """(uri, at, alike, most): the separator of each file's ``bare`` lines, which hold no quotes.
+def _shapes(lines: DataFrame, *facts: Column) -> DataFrame:
+    """(uri, _k0.., lines, ...): lines counted by file and by how often ``bare`` holds each separator.
+
+    ``bare`` is a line without what is quoted. Lines of one shape are counted before they are shuffled.
+    """
+    held = [(F.length("bare") - F.length(F.replace("bare", F.lit(s)))).alias(f"_k{i}")
+            for i, s in enumerate(SEPARATORS)]
+    return lines.withColumns({c: h for c, h in zip(_COUNTS, held)}).groupBy("uri", *_COUNTS).agg(
+        F.count("*").alias("lines"), *facts)
+
+
+_COUNTS = [f"_k{i}" for i in range(len(SEPARATORS))]
+
+
+def _separators(shapes: DataFrame) -> DataFrame:
+    """(uri, at, alike, most): the separator of each file by the ``_shapes`` of its lines.
 
     It is the one that most lines hold equally often, at least once. ``alike`` of 0 means that there
     is none; ``most`` is how often a line holds it at most.
     """
-    count = [F.col(f"_k{i}") for i in range(len(SEPARATORS))]
-    held = lines.select("uri", *[
-        (F.length("bare") - F.length(F.replace("bare", F.lit(s)))).alias(f"_k{i}")
-        for i, s in enumerate(SEPARATORS)])
-    # lines of one shape are counted before they are shuffled
-    shapes = held.groupBy("uri", *count).agg(F.count("*").alias("lines"))
-    per_count = shapes.select("uri", "lines", F.posexplode(F.array(*count)).alias("at", "k")).groupBy(
+    per_count = shapes.select("uri", "lines", F.posexplode(F.array(*_COUNTS)).alias("at", "k")).groupBy(
         "uri", "at", "k").agg(F.sum("lines").alias("lines"))
     per_separator = per_count.groupBy("uri", "at").agg(
         F.coalesce(F.max(F.when(F.col("k") > 0, F.col("lines"))), F.lit(0)).alias("alike"),
@@ -69,18 +77,25 @@ def file_dialects(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place")
     ).where(F.trim("value") != "")
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    facts = cut_lineage(lines.groupBy("uri").agg(
-        F.every(F.is_valid_utf8("value")).alias("utf8"), F.max(quotes % 2 == 1).alias("multiline"),
-        F.min_by(F.startswith(F.ltrim("value"), F.lit("<")), "place").alias("markup")), "files")
     bare = F.regexp_replace("value", '"[^"]*"', "")
-    found = _separators(lines.select("uri", bare.alias("bare")))
+    quoted = F.contains("value", F.lit('"'))
+    markup = F.startswith(F.ltrim("value"), F.lit("<"))
+    shapes = cut_lineage(_shapes(
+        lines.withColumn("bare", F.when(quoted, bare).otherwise(F.col("value"))),
+        F.every(F.is_valid_utf8("value")).alias("utf8"), F.max(quotes % 2 == 1).alias("multiline"),
+        F.min(F.struct("place", markup.alias("markup"))).alias("top")), "shapes")
+    facts = shapes.groupBy("uri").agg(
+        F.every("utf8").alias("utf8"), F.max("multiline").alias("multiline"),
+        F.min("top")["markup"].alias("markup"))
+    found = _separators(shapes)
     broken = [r["file"] for r in facts.where("multiline").select(
         _plain(F.col("uri")).alias("file")).collect()]  # a path each
     if broken:
         rows = spark.read.text([_literal(f) for f in broken], wholetext=True).select(
             F.col("_metadata.file_path").alias("uri"),
             F.explode(F.split(bare, "\r\n|\r|\n")).alias("bare")).where(F.trim("bare") != "")
-        found = found.join(facts.where("multiline"), "uri", "left_anti").unionByName(_separators(rows))
+        found = found.join(facts.where("multiline"), "uri", "left_anti").unionByName(
+            _separators(_shapes(rows)))
     by_name = F.when(F.lower("uri").endswith(".tsv"), F.lit("\t")).otherwise(",")
     return cut_lineage(facts.join(found, "uri").select(
         _plain(F.col("uri")).alias("file"),
@@ -90,39 +105,123 @@ def file_dialects(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "multiline", (F.col("most") + 1).alias("width"), "markup"), "dialects")
 
 
-def read_cells(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """All delimited files under ``path`` as (path, row_no, cells), each in its own dialect.
+def _groups(dialects: DataFrame) -> list[Row]:
+    """The files of each dialect, wide files apart from narrow ones.
 
-    Files of one dialect are one read, wide files apart from narrow ones; every cell of every row
-    is kept. The driver holds the list of files, as the reader does. Files that begin like a page
-    of markup are left out (`file_problems` lists them). ``row_no`` counts the rows of a file's
-    first split from zero and is null further down: headers are only looked for near the top, and
-    nothing else depends on row order.
+    The driver holds the list of files, as the reader does. Files that begin like a page of markup
+    are left out (`file_problems` lists them).
     """
-    dialects = file_dialects(spark, path).where(~F.col("markup")).withColumn(
+    plain = dialects.where(~F.col("markup")).withColumn(
         "columns", F.pow(F.lit(2), F.ceil(F.log2(F.col("width")))).cast("int"))
-    groups = dialects.groupBy("sep", "encoding", "multiline", "columns").agg(
+    return plain.groupBy("sep", "encoding", "multiline", "columns").agg(
         F.sort_array(F.collect_list("file")).alias("files")).orderBy(
         "sep", "encoding", "multiline", "columns").collect()
-    numbered = [_read(spark, g) for g in groups]
+
+
+def read_cells(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """All delimited files under ``path`` as (path, row_no, cells), each in its own dialect.
+
+    Files of one dialect are one read; every cell of every row is kept. ``row_no`` counts the rows
+    of a file's first split from zero and is null further down: headers are only looked for near
+    the top, and nothing else depends on row order.
+    """
+    numbered = [_read(spark, g) for g in _groups(file_dialects(spark, path))]
     if not numbered:
         return spark.createDataFrame([], "path string, row_no bigint, cells array<string>")
-    rows = reduce(DataFrame.unionByName, numbered)
-    first = rows.where(F.col("_start") == 0).groupBy("path").agg(F.min("_seq").alias("_first"))
-    return rows.join(first, "path", "left").select(
-        "path", F.when(F.col("_start") == 0, F.col("_seq") - F.col("_first")).alias("row_no"), "cells")
-
-
-def _read(spark: SparkSession, group: Row) -> DataFrame:
-    names = [f"c{i}" for i in range(group["columns"])]
-    rows = spark.read.schema(", ".join(f"{n} string" for n in names)).options(
-        sep=group["sep"], encoding=group["encoding"], multiLine=group["multiline"], header=False,
-        escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True,
-        maxColumns=len(names) + 1, maxCharsPerColumn=-1).csv([_literal(f) for f in group["files"]])
+    return _numbered(reduce(DataFrame.unionByName, numbered))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows of `_read` with ``row_no``. What is broadcast is a number for each file of the driver's
+    list; rows aren't shuffled to meet it, whatever the size of one file."""
+    first = F.broadcast(rows.where(F.col("_start") == 0).groupBy("path").agg(
+        F.min("_seq").alias("_first")))
+    row_no = F.when(F.col("_start") == 0, F.col("_seq") - F.col("_first")).alias("row_no")
+    kept = [c for c in rows.columns if c not in ("path", "_start", "_seq")]
+    return rows.join(first, "path", "left").select("path", row_no, *kept)
+
+
+def _columns(group: Row) -> list[str]:
+    return [f"c{i}" for i in range(group["columns"])]
+
+
+def _options(group: Row) -> dict[str, str]:
+    return {"sep": group["sep"], "escape": '"', "ignoreLeadingWhiteSpace": "true",
+            "ignoreTrailingWhiteSpace": "true", "maxColumns": str(group["columns"] + 1),
+            "maxCharsPerColumn": "-1"}
+
+
+def _read(spark: SparkSession, group: Row, files: list[str] | None = None,
+          fields: list[Column] | None = None) -> DataFrame:
+    """Files of one dialect; only the columns that ``fields`` name are parsed into cells."""
+    rows = spark.read.schema(_schema(group)).options(
+        encoding=group["encoding"], multiLine=group["multiline"], header=False, **_options(group)).csv(
+        [_literal(f) for f in files or group["files"]])
+    return _placed(rows, *(fields or [F.array(*_columns(group)).alias("cells")]))
+
+
+def _schema(group: Row) -> str:
+    return ", ".join(f"{n} string" for n in _columns(group))
+
+
+def _placed(rows: DataFrame, *fields: Column) -> DataFrame:
     return rows.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_seq"), F.array(*names).alias("cells"))
+        F.monotonically_increasing_id().alias("_seq"), *fields)
+
+
+#: Parts no text: with it the reader gives a line whole.
+_NO_SEPARATOR = "\u0001"
+
+
+def _headers(spark: SparkSession, group: Row) -> DataFrame:
+    """(path, header): the first row of each file of one dialect.
+
+    Lines that are rows are taken whole and only the first of them are parted into cells. The
+    headers, a row a file, are written out: what looks for names in them repeats no parsing.
+    """
+    if group["multiline"]:
+        return cut_lineage(first_rows(_numbered(_read(spark, group))), "headers")
+    whole = spark.read.schema("line string").options(
+        sep=_NO_SEPARATOR, quote="", encoding=group["encoding"], header=False,
+        maxCharsPerColumn=-1).csv([_literal(f) for f in group["files"]])
+    top = _numbered(_placed(whole, F.col("line"))).where(F.col("row_no") == 0)
+    parsed = F.array(F.from_csv("line", F.lit(_schema(group)), _options(group)))
+    cells = F.transform(parsed, lambda c: F.array(*[c[n] for n in _columns(group)]))
+    return cut_lineage(first_rows(top.select("path", "row_no", cells[0].alias("cells"))), "headers")
+
+
+def _wanted(fields: dict[str, list[str]]) -> dict[str, list[str]]:
+    return {k: [h.strip().lower() for h in names] for k, names in fields.items()}
+
+
+def read_fields(spark: SparkSession, path: str | list[str], fields: dict[str, list[str]],
+                required: list[str]) -> DataFrame:
+    """`select_fields` of all delimited files under ``path``, reading no other columns.
+
+    Headers are resolved once per file; files of one dialect that hold the fields at the same
+    places are one read of just those columns.
+    """
+    groups, wanted = _groups(file_dialects(spark, path)), _wanted(fields)
+    found = [_headers(spark, g).select(
+        F.lit(k).alias("at"), _plain(F.col("path")).alias("file"),
+        F.struct(*[position(F.col("header"), names).alias(f) for f, names in wanted.items()]).alias("p"))
+        for k, g in enumerate(groups)]
+    if not found:
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in ("path", *wanted)))
+    placed = reduce(DataFrame.unionByName, found)
+    for k in required:
+        placed = placed.where(F.col(f"p.{k}").isNotNull())
+    layouts = placed.groupBy("at", "p").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy(
+        "at", "p").collect()
+    reads = [_read(spark, groups[l["at"]], l["files"], [
+        (F.lit(None).cast("string") if l["p"][f] is None else F.col(f"c{l['p'][f]}")).alias(f)
+        for f in wanted]) for l in layouts]
+    if not reads:
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in ("path", *wanted)))
+    rows = _numbered(reduce(DataFrame.unionByName, reads))
+    return rows.where(F.coalesce("row_no", F.lit(1)) > 0).select("path", *wanted)
 
 
 def folder_of(path: Column) -> Column:
@@ -161,7 +260,7 @@ def select_fields(cells: DataFrame, fields: dict[str, list[str]],
     turns into a broadcast when they are small and splits when one file dominates. Files that
     lack a required column are left out; `file_problems` lists them.
     """
-    wanted = {k: [h.strip().lower() for h in names] for k, names in fields.items()}
+    wanted = _wanted(fields)
     heads = first_rows(cells).select("path", *[position(F.col("header"), names).alias(f"_{k}")
                                                for k, names in wanted.items()])
     for k in required:
@@ -177,7 +276,10 @@ def file_problems(spark: SparkSession, path: str | list[str], fields: dict[str,
     Files of no bytes at all aren't listed: Spark's readers leave them out.
     """
     dialects = file_dialects(spark, path)
-    heads = first_rows(read_cells(spark, path)).withColumn("file", _plain(F.col("path")))
+    heads = reduce(DataFrame.unionByName, [
+        _headers(spark, g) for g in _groups(dialects)] or [
+        spark.createDataFrame([], "path string, header array<string>")]).withColumn(
+        "file", _plain(F.col("path")))
     missing = [F.when(position(F.col("header"), [h.strip().lower() for h in fields[k]]).isNull(),
                       F.lit(k)) for k in required]
     lacking = heads.select("file", F.array_join(F.array_compact(F.array(*missing)), ", ").alias("lacks"))

@@ -14,18 +14,22 @@ from parcelsight.rules.layouts import (
     SLA_DROP_TOKENS, SLA_ORIGIN_TOKENS, SLA_PIN_TOKENS, SLA_TAT_TOKENS)
 from parcelsight.rules.shipments import (
     REQUIRED_HEADERS, SHIPMENT_HEADERS, SHIPMENT_TABLE_COLUMNS)
-from parcelsight.sources.cells import cell, first_rows, read_cells, select_fields
+from parcelsight.sources.cells import cell, first_rows, read_fields, select_fields
 from parcelsight.sources.windows import Window, window_date
 
 
 def shipment_fields(cells: DataFrame) -> DataFrame:
     """Raw logical fields of shipment exports; rows without a carrier are skipped."""
-    raw = select_fields(cells, SHIPMENT_HEADERS, REQUIRED_HEADERS).drop("path")
-    return raw.where(text(F.col("carrier")) != "")
+    return _carried(select_fields(cells, SHIPMENT_HEADERS, REQUIRED_HEADERS))
+
+
+def _carried(raw: DataFrame) -> DataFrame:
+    return raw.drop("path").where(text(F.col("carrier")) != "")
 
 
 def read_shipment_files(spark: SparkSession, path: str) -> DataFrame:
-    return shipment_fields(read_cells(spark, path))
+    """`shipment_fields` of all delimited files under ``path``; other columns aren't read."""
+    return _carried(read_fields(spark, path, SHIPMENT_HEADERS, REQUIRED_HEADERS))
 
 
 def scan_shipments(table: DataFrame, window: Window, columns: dict[str, str] | None = None,

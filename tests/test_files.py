@@ -60,6 +60,19 @@ def test_fields_of_all_dialects(spark, folder):
          ("Swift", "m1"), ("Alone", None)], key=str)
 
 
+def test_only_the_fields_asked_for_are_read(spark, folder):
+    got = CE.read_fields(spark, folder, FIELDS, ["carrier"])
+    want = CE.select_fields(CE.read_cells(spark, folder), FIELDS, ["carrier"])
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "FileScan csv" in plan and "c150" not in plan and "SortMergeJoin" not in plan
+
+
+def test_no_fields(spark, tmp_path):
+    assert CE.read_fields(spark, str(tmp_path), FIELDS, ["carrier"]).columns == ["path", *FIELDS]
+
+
 def test_problems_name_every_file_without_rows(spark, folder):
     got = CE.file_problems(spark, folder, FIELDS, ["carrier"])
     assert {(r.n, r.problem) for r in got.select(name(F.col("file")).alias("n"), "problem").collect()} == {
