@@ -308,9 +308,8 @@ def src_shipment_csv(i):
 @query("src_resolve_columns", statement("""
 SELECT awb, trim(carrier) AS carrier, sku, status FROM shipments_raw WHERE trim(carrier) <> ''"""))
 def src_resolve_columns(i):
-    cells = CE.read_cells(i.spark, shipment_files(i))
     wanted = {f: SHIPMENT_HEADERS[f] for f in ("awb", "carrier", "sku", "status", "zone")}
-    out = CE.select_fields(cells, wanted, REQUIRED_HEADERS)
+    out = CE.read_fields(i.spark, shipment_files(i), wanted, REQUIRED_HEADERS)
     return out.where(F.col("carrier").isNotNull()).select("awb", "carrier", "sku", "status")
 
 
