@@ -276,7 +276,7 @@ def shipment_files(i: Inputs) -> str:
     """
     folder = shared_folder(i.spark, "shipments")
     stamps = ("pickup_ts", "order_ts", "delivery_ts", "ofd1_ts")
-    text = i.raw.select(*[
+    text = i.settled().raw.select(*[
         (F.date_format(f, "yyyy-MM-dd HH:mm:ss") if f in stamps else F.col(f).cast("string")).alias(f)
         for f in SHIPMENT_HEADERS])
     named = lambda rows, fields: rows.select(*[F.col(f).alias(_HEADERS[f]) for f in fields])
