@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from parcelsight.catalog.registry import Inputs
+from parcelsight.catalog import load
+from parcelsight.catalog.registry import Inputs, run
 from parcelsight.operators import invoices as I
 from parcelsight.operators import kpi as K
 from parcelsight.operators import revenue as R
@@ -104,3 +105,11 @@ def test_median_walks_share_a_shuffle(inputs):
     block.collect()
     final = block._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "ReusedExchange" in final
+
+
+@pytest.mark.parametrize("name", ["inv_product"])
+def test_lines_are_enriched_once(spark, folder, name):
+    """What reads enriched lines several times reads them written, not joined again each time."""
+    load()
+    files = run(name, spark, folder).inputFiles()
+    assert any("enriched-" in f for f in files) and not any("lineitem" in f for f in files)
