@@ -217,7 +217,9 @@ def _file_facts(rows: DataFrame) -> DataFrame:
 
 
 def _bodies(cells: DataFrame, heads: DataFrame) -> DataFrame:
-    return cells.join(heads, "path").where(F.coalesce("row_no", F.lit(1 << 40)) > F.col("header_row"))
+    """Rows below the header of their file. The heads, a row for a file and layout, are broadcast: rows
+    are not shuffled by file, so none of a file's size falls to one task."""
+    return cells.join(F.broadcast(heads), "path").where(F.coalesce("row_no", F.lit(1 << 40)) > F.col("header_row"))
 
 
 def parse_lines(cells: DataFrame, configs: DataFrame | None = None) -> DataFrame:
@@ -225,12 +227,11 @@ def parse_lines(cells: DataFrame, configs: DataFrame | None = None) -> DataFrame
 
     ``configs`` are registered column mappings, tried after the built-in layouts by carrier.
 
-    Header positions, one row per file and layout, join the data rows; AQE broadcasts them when
-    they are small and splits a dominating file otherwise.
+    Header positions, one row per file and layout, and the facts of files are broadcast to the data rows.
     """
     rows = _bodies(cells, header_rows(cells, configs))
     own = F.struct(*_CHOICE)
-    chosen = rows.join(_file_facts(rows), "path", "left").where(F.coalesce("_winner", own) == own)
+    chosen = rows.join(F.broadcast(_file_facts(rows)), "path", "left").where(F.coalesce("_winner", own) == own)
     lines = _texts(chosen, FIELDS, *_FILE_FACTS, "_modal").where(_is_line())
     return _typed_lines(lines)
 

@@ -96,6 +96,20 @@ def test_a_month_is_found_by_listing(spark, tmp_path):
     assert sorted(r.awb for r in SI.parse_lines(cells).collect()) == ["A1", "A2"]
 
 
+def test_rows_of_files_are_not_shuffled(spark):
+    cells = spark.createDataFrame(
+        [("/f/ekart.csv", 0, ["Order ID", "Invoice Amt"]), ("/f/ekart.csv", None, ["O1", "118"])],
+        "path string, row_no bigint, cells array<string>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = SI.parse_lines(cells)
+        assert "SortMergeJoin" not in lines._jdf.queryExecution().sparkPlan().toString()
+        assert [r.order_id for r in lines.collect()] == ["O1"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_profile_reaches_the_end_of_a_file(spark):
     rows = [("/f/x.csv", k, [str(k), "late" if k in (900, 950) else ""]) for k in range(1, 1000)]
     cells = spark.createDataFrame([("/f/x.csv", 0, ["AWB", "Remark"]), *rows],
