@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from parcelsight.functions.scalars import (
     contains_any_sql, digits, lookup, pick, text, to_number)
-from parcelsight.operators.common import spread_blank
 from parcelsight.rules.geo import PICKUP_CITY_ALIAS
 from parcelsight.rules.sla import REVERSE_TAT_DAYS, SLA_RULES, SlaRule
 from parcelsight.session import rule_table
@@ -67,12 +66,13 @@ def add_promises(df: DataFrame, lanes: DataFrame | None, overrides: DataFrame |
     """Add ``tat_primary``, ``tat_default``, ``overridden`` and ``tat_override`` by one join.
 
     Which rules are overridden is a scalar of at most one name a rule. An override from the
-    parcel's own origin comes before one from anywhere.
+    parcel's own origin comes before one from anywhere. The promises are broadcast: their number is
+    that of pincodes of a rule, and the shipments, the widest rows there are, stay where they are.
     """
-    key = spread_blank(F.concat(F.col("rule"), F.lit("|"), digits(F.col("drop_pin"))), F.col("awb"))
+    key = F.concat(F.col("rule"), F.lit("|"), digits(F.col("drop_pin")))
     hub = F.when(pick(F.col("rule_ix"), [r.drop_only for r in rules]), F.lit("*")).otherwise(F.col("hub"))
     found = df.withColumn("_key", key).join(
-        promise_table(lanes, overrides, rules), F.col("_key") == F.col("promise_key"), "left")
+        F.broadcast(promise_table(lanes, overrides, rules)), F.col("_key") == F.col("promise_key"), "left")
 
     def promise(kind: str, place: Column) -> Column:
         return F.element_at("promises", F.concat(F.lit(f"{kind} "), place))
@@ -122,7 +122,10 @@ def city_key(c: Column) -> Column:
 
 
 def add_city_tat(df: DataFrame, lanes: DataFrame, rules: list[SlaRule] = SLA_RULES) -> DataFrame:
-    """Add ``tat_city`` from the city-to-city lanes of rules that own some, with pickup aliases."""
+    """Add ``tat_city`` from the city-to-city lanes of rules that own some, with pickup aliases.
+
+    The lanes are broadcast: there is one for each pair of cities of a rule, whatever is shipped.
+    """
     owners = _rules_with(rules, "has_city_lanes")
     cities = lanes.where((F.col("tier") == "city") & F.col("rule").isin(owners)).groupBy(
         F.concat_ws("|", "rule", "pickup_city", "drop_city").alias("city_key")).agg(
@@ -131,8 +134,8 @@ def add_city_tat(df: DataFrame, lanes: DataFrame, rules: list[SlaRule] = SLA_RUL
     keyed = df.withColumn("_from", start).withColumn(
         "_from", F.coalesce(lookup("_from", PICKUP_CITY_ALIAS), F.col("_from")))
     key = F.when(F.col("rule").isin(owners), F.concat_ws("|", F.col("rule"), F.col("_from"), end))
-    return keyed.withColumn("_key", spread_blank(key, F.col("awb"))).join(
-        cities, F.col("_key") == F.col("city_key"), "left").drop("_from", "_key", "city_key")
+    return keyed.withColumn("_key", key).join(
+        F.broadcast(cities), F.col("_key") == F.col("city_key"), "left").drop("_from", "_key", "city_key")
 
 
 def clean_overrides(rows: DataFrame, rules: list[SlaRule] = SLA_RULES) -> DataFrame:

@@ -8,7 +8,9 @@ from parcelsight.catalog.registry import Inputs, run
 from parcelsight.operators import invoices as I
 from parcelsight.operators import kpi as K
 from parcelsight.operators import revenue as R
+from parcelsight.operators import sla
 from parcelsight.operators.filters import Filters, filter_shipments
+from parcelsight.plans import reports
 from parcelsight.rules.shipments import SCORE_WEIGHTS
 from parcelsight.rules.sla import SLA_RULES
 
@@ -113,3 +115,46 @@ def test_lines_are_enriched_once(spark, folder, name):
     load()
     files = run(name, spark, folder).inputFiles()
     assert any("enriched-" in f for f in files) and not any("lineitem" in f for f in files)
+
+
+def test_promises_are_found_where_the_shipments_are(spark):
+    """Shipments aren't shuffled to meet promises; those without a rule or a pincode find none."""
+    ships = spark.createDataFrame(
+        [("a", "Blue Dart", "x_STD", "412106", "411001", "CAH", "PUNE", "CHENNAI"),
+         ("b", "Blue Dart", "x_STD", "412106", "", "CAH", "PUNE", ""),
+         ("c", "Nobody", "", "", "411001", "", "", ""),
+         ("d", "GoSwift", "x", "562114", "600001", "BLR", "BANGALORE", "CHENNAI")],
+        "awb string, carrier string, account string, pickup_pin string, drop_pin string, hub string, "
+        "city string, drop_city string")
+    rules = {r.awb: r.rule for r in sla.add_rule(ships).collect()}
+    assert rules["c"] is None
+    lanes = spark.createDataFrame(
+        [(rules["a"], "primary", None, "411001", None, None, 3.0), (rules["d"], "city", None, None, "BANGALORE", "CHENNAI", 4.0)],
+        "rule string, tier string, warehouse string, drop_pin string, pickup_city string, drop_city string, tat double")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = sla.add_lane_tat(sla.add_city_tat(sla.add_rule(ships), lanes), lanes)
+        got = {r.awb: (r.tat_primary, r.tat_city) for r in found.collect()}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got["a"][0] == 3.0 and got["b"] == got["c"] == (None, None)
+    assert got["d"][1] == (4.0 if rules["d"] in sla._rules_with(SLA_RULES, "has_city_lanes") else None)
+    assert "SortMergeJoin" not in plan
+
+
+def test_report_sections_read_the_columns_named(inputs):
+    """Every section can be built from the columns that reports write out."""
+    rows = inputs.classified
+    assert len(reports.shipment_report(rows.select(*reports.REPORT_READS))) == 16
+    some = ["carriers", "warehouses", "destinations", "lanes", "products", "daily"]
+    assert reports.digest(reports.shipment_report(rows.select(*reports.DIGEST_READS), only=some)).columns
+
+
+@pytest.mark.parametrize("name", ["agg_single_pass"])
+def test_only_columns_read_are_written(spark, folder, name):
+    load()
+    first = run(name, spark, folder).inputFiles()[0].rsplit("/", 1)[0]
+    written = spark.read.parquet(first).columns
+    assert "tat_status" in written and "item_name" not in written and len(written) < 20
