@@ -15,6 +15,9 @@ from parcelsight.llm import exact, langid, minhash, packing, secret_scan
 from parcelsight.llm.shared import written
 
 TOKENIZER = "word_bpe_49k.json"
+#: Of the packing, whose workers share an executor with what the stages before it left in its heap.
+CACHE_BYTES = 24 << 20
+SLICE_CHARS = 1 << 18
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +65,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are one id, their end; repeated rows are packed each.
     """
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), cache_bytes=CACHE_BYTES,
+                        slice_chars=SLICE_CHARS)
 
 
 STAGES = [

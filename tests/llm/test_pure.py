@@ -92,6 +92,18 @@ def _sets(text):
     return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+def test_slices_are_bounded_and_whole():
+    """No slice holds more characters than asked for, but for a text that does alone; none is lost."""
+    texts = ["", "a b " * 10, "x" * 500, "", "c" * 60, "d" * 60] * 300
+    parts = list(packing.slices(texts, 100))
+    assert [t for p in parts for t in p] == texts
+    assert all(len(p) == 1 or sum(map(len, p)) <= 100 for p in parts)
+    assert max(map(len, packing.slices([""] * 3000, 100))) == packing.SLICE_TEXTS
+    assert list(packing.slices([], 100)) == []
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert [i for p in parts for i in encoder.encode(p)] == encoder.encode(texts)
+
+
 def test_shingles_are_counted():
     pick = random.Random(3)
     signs = "ab \n\t\x0bÉ\x85"
