@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from parcelsight.llm import langid, minhash, packing, quality, secret_scan, vectors, warc
+from parcelsight.llm import bpe, langid, minhash, packing, quality, secret_scan, vectors, warc
 from parcelsight.llm.bpe import BytePairs
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -204,3 +204,15 @@ def test_warc_record_round_trip():
     fields, block, end = warc.parse(data, at)
     assert end == len(data)
     assert warc._content(fields, block, True)[2:6] == ("revisit", 7, 5000, "cd" * 20)
+
+
+def test_short_slices_merge_as_long_ones(coder, monkeypatch):
+    random = np.random.default_rng(11)
+    words = ["".join(random.choice(list("aeinrstäö 你'"), n)) for n in random.integers(2, 16, 400)]
+    plain = [coder._merged_short(w.encode()) for w in words if w.encode() not in coder.ranks]
+    monkeypatch.setattr(bpe, "SHORT_SLICE", 0)
+    assert plain == [coder.merged(w.encode()) for w in words if w.encode() not in coder.ranks]
+
+
+def test_a_worker_keeps_its_coder():
+    assert bpe.byte_pairs(RANKS) is bpe.byte_pairs(RANKS)
