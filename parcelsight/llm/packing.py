@@ -79,12 +79,19 @@ class WordEncoder:
 
         Punctuation behind a letter or digit is always split off, and letter case is dropped.
         """
-        known = self.known
-        stems = {w: w.rstrip(TAIL) for w in new}
-        stems = {w: s if _ends_plainly(s) else w for w, s in stems.items()}
-        ordinary = lambda s: not self.special_words and s.isalnum() or not self.special.search(s)
-        lower = {s: s.lower() if s.isascii() and ordinary(s) else s for s in stems.values()}
-        tails = {w[len(s):] for w, s in stems.items()}
+        known, special = self.known, self.special
+        stems, lower = {}, {}
+        for w in new:
+            s = w.rstrip(TAIL)
+            if s.isascii() and s.isalpha() and not self.special_words:
+                lower[s] = s.lower()
+            else:
+                if not _ends_plainly(s):
+                    s = w
+                ordinary = not self.special_words and s.isalnum() or not special.search(s)
+                lower[s] = s.lower() if s.isascii() and ordinary else s
+            stems[w] = s
+        tails = {w[len(s):] for w, s in stems.items() if len(s) < len(w)}
         wanted = set(lower.values()).union(tails).difference(known)
         plain = [s for s in wanted if s.isalpha()]
         self._learn_each([s for s in wanted if not s.isalpha()])
@@ -100,7 +107,8 @@ class WordEncoder:
             data = ids.tobytes()
             known.update(zip(group, map(data.__getitem__, map(slice, [0, *cuts], cuts)),
                              strict=True))
-        known.update({w: known[lower[s]] + known[w[len(s):]] for w, s in stems.items()})
+        known.update({w: known[lower[s]] + known[w[len(s):]] if len(s) < len(w) else known[lower[s]]
+                      for w, s in stems.items()})
         self.bytes += 2 * ENTRY_BYTES * len(new) + 4 * sum(map(len, new))
 
     def _learn_each(self, words: list[str]) -> None:

@@ -216,3 +216,11 @@ def test_short_slices_merge_as_long_ones(coder, monkeypatch):
 
 def test_a_worker_keeps_its_coder():
     assert bpe.byte_pairs(RANKS) is bpe.byte_pairs(RANKS)
+
+
+def test_plain_words_are_learned_directly(monkeypatch):
+    encoder = packing.WordEncoder(WORDS)
+    monkeypatch.setattr(packing, "_ends_plainly", None)  # only words with other letters need it
+    text = "The cat, the CAT sat."
+    want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == want
