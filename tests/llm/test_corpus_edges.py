@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelsight.llm import (
-    bpe, exact, langid, minhash, packing, pii, quality, secret_scan, vectors, warc)
+    bpe, components, exact, langid, minhash, packing, pii, quality, secret_scan, vectors, warc)
 from parcelsight.llm.components import connected_components
 from parcelsight.llm.shared import likely
 
@@ -147,6 +147,22 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, components.FEW])
+def test_rounds_of_few_edges_are_one_task(spark, monkeypatch, few):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(components, "FEW", few)
+    spark.conf.set(name, "false")
+    try:
+        edges = [(i, i + 1) for i in range(1, 40)] + [(60, 50), (50, 60), (70, 70), (50, None)]
+        got = connected_components(spark.createDataFrame(edges, "a long, b long"))
+        assert {tuple(r) for r in got.collect()} == {
+            (i, 1) for i in range(1, 41)} | {(50, 50), (60, 50)}
+        assert not few or got.rdd.getNumPartitions() <= 2
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_likely(spark):
     ids = spark.range(0, 4000, 7)
     wide = spark.range(20_000).withColumnRenamed("id", "k").withColumn("bits", F.lit(1))
