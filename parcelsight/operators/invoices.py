@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelsight.functions.scalars import (
-    blank_to_null, cents, percent, pick, ratio, rounded, rupees)
+    blank_to_null, cents, percent, pick, ratio, rounded, rupees, split_skus)
 from parcelsight.functions.times import invoice_date, month_label
 from parcelsight.operators.common import spread_blank, with_whole
-from parcelsight.operators.lookups import sku_labels, sku_weights
+from parcelsight.operators.lookups import (
+    attach_shipments, enrich_from_master, sku_labels, sku_weights)
 
 TDS_RATE = 2.0
 SLABS = [0.5, 1.0, 2.0, 3.0, 5.0, 7.0, 10.0]
@@ -243,8 +244,8 @@ def spend_by_product(lines: DataFrame, top: int | None = None) -> DataFrame:
 
 def multi_sku_lines(lines: DataFrame, master: DataFrame) -> DataFrame:
     """Lines whose AWB carries more than one SKU, with tokens and master names."""
-    keyed = lines.withColumn("_ks", spread_blank(F.col("sku"), F.concat("awb", "order_id")))
-    return keyed.join(sku_labels(lines, master), F.col("_ks") == F.col("sku_text")).select(
+    several = lines.where(F.size(split_skus(F.col("sku"))) > 1)
+    return several.join(sku_labels(several, master), F.col("sku") == F.col("sku_text")).select(
         "awb", "invoice_number", "carrier", "order_id", "product_count", "skus", "names",
         rounded(F.coalesce("weight_kg", F.lit(0.0)), 2).alias("weight"),
         rounded(F.col("amount"), 2).alias("amount"))
@@ -279,10 +280,9 @@ def slab_index(slab: Column) -> Column:
 
 def weight_checks(lines: DataFrame, master: DataFrame, min_jump: int = 2) -> DataFrame:
     """Every line the master can check, flagged when billed ``min_jump`` slabs too high."""
-    weights = sku_weights(lines, master)
-    keyed = lines.withColumn("_ks", spread_blank(F.col("sku"), F.concat("awb", "order_id")))
-    checked = keyed.join(weights, F.col("_ks") == F.col("sku_text")) \
-        .where(F.col("expected_g").isNotNull() & (F.col("weight_kg") > 0))
+    weighed = lines.where((F.col("sku") != "") & (F.col("weight_kg") > 0))
+    checked = weighed.join(sku_weights(weighed, master), F.col("sku") == F.col("sku_text")) \
+        .where(F.col("expected_g").isNotNull())
     slabs = checked.withColumns({
         "expected_slab": weight_slab(F.col("expected_g") / 1000.0),
         "charged_slab": weight_slab(F.col("weight_kg")),
@@ -293,9 +293,20 @@ def weight_checks(lines: DataFrame, master: DataFrame, min_jump: int = 2) -> Dat
     return slabs.withColumns({
         "flagged": F.col("slabs_jumped") >= min_jump,
         "overcharge": F.col("excess") * (F.col("amount") / F.col("weight_kg")),
-        "subcategory": F.coalesce(blank_to_null(F.trim("subcategory")), F.lit("Unmatched"))
-        if "subcategory" in lines.columns else F.lit("Unmatched"),
-    }).drop("_ks", "sku_text")
+        "subcategory": _named_subcategory() if "subcategory" in lines.columns else F.lit("Unmatched"),
+    }).drop("sku_text")
+
+
+def _named_subcategory() -> Column:
+    return F.coalesce(blank_to_null(F.trim("subcategory")), F.lit("Unmatched"))
+
+
+def flagged_checks(settled: DataFrame, master: DataFrame, shipments: DataFrame) -> DataFrame:
+    """The flagged checks of lines with settled SKUs, enriched from their own SKU after the check."""
+    flagged = weight_checks(settled, master).where("flagged") \
+        .withColumn("sku", F.col("own_sku")).drop("own_sku", "subcategory")
+    return attach_shipments(enrich_from_master(flagged, master), shipments) \
+        .withColumn("subcategory", _named_subcategory())
 
 
 def weight_disputes(checks: DataFrame) -> DataFrame:

@@ -240,6 +240,21 @@ def enrich_from_master(lines: DataFrame, master: DataFrame) -> DataFrame:
     }).drop("_ks", "ms_key", "ms", "_open")
 
 
+def settle_skus(lines: DataFrame, master: DataFrame, shipments: DataFrame) -> DataFrame:
+    """Lines with the SKU that the enrichment gives them; their own one goes to ``own_sku``.
+
+    Only a blank SKU is ever replaced, so only lines without one meet the master and the shipments.
+    """
+    blank = F.coalesce(F.col("sku") == "", F.lit(False))
+    kept = lines.withColumn("own_sku", F.col("sku"))
+    own = {c: f"_own_{c}" for c in ("category", "product", "sku_name")}
+    filled = attach_products(match_shipments(enrich_from_master(
+        kept.where(blank).withColumns({o: F.col(c) for c, o in own.items()}), master), shipments))
+    # only the SKU is taken: all else is enriched from the line as it came
+    return kept.where(~blank).unionByName(
+        filled.select(*[F.col(own.get(c, c)).alias(c) for c in kept.columns]))
+
+
 def sku_texts(lines: DataFrame) -> DataFrame:
     """Distinct SKU texts with their tokens exploded; far fewer rows than lines."""
     return lines.select("sku").where(F.col("sku") != "").distinct().select(
