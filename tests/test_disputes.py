@@ -63,19 +63,15 @@ def test_checks_of_settled_lines(frames):
     assert len(found) == 4 and found == rows(I.multi_sku_lines(enriched, master))
 
 
-@pytest.mark.parametrize("name", ["inv_multi_sku", "inv_multi_sku_summary", "topk_multi_sku", "inv_dispute_invoice",
-                                  "inv_dispute_product", "inv_dispute_rollups", "topk_dispute_products"])
-def test_only_blank_skus_meet_shipments(spark, folder, monkeypatch, name):
+def test_lines_that_meet_shipments(spark, folder, monkeypatch):
+    """Lines without a SKU of their own, and the flagged ones where more than their SKU is read."""
     met, match = [], L.match_shipments
     monkeypatch.setattr(L, "match_shipments", lambda lines, ships: met.append(lines) or match(lines, ships))
-    load()[name][0](Inputs(spark, folder))
-    assert met and all(m.where("own_sku <> ''").count() == 0 for m in met)
-
-
-@pytest.mark.parametrize("name", ["inv_weight_dispute", "topk_dispute_lines", "inv_dispute_subcategory"])
-def test_only_flagged_lines_are_enriched(spark, folder, monkeypatch, name):
-    met, match = [], L.match_shipments
-    monkeypatch.setattr(L, "match_shipments", lambda lines, ships: met.append(lines) or match(lines, ships))
-    load()[name][0](Inputs(spark, folder))
-    assert len(met) == 2
-    assert met[0].where("own_sku <> ''").count() == 0 and met[1].where("NOT flagged").count() == 0
+    inputs = Inputs(spark, folder)
+    for name in ("inv_multi_sku", "inv_multi_sku_summary", "topk_multi_sku", "inv_dispute_invoice",
+                 "inv_dispute_product", "inv_dispute_rollups", "topk_dispute_products"):
+        load()[name][0](inputs)
+    assert len(met) == 1 and met[0].where("own_sku <> ''").isEmpty()
+    for name in ("inv_weight_dispute", "topk_dispute_lines", "inv_dispute_subcategory"):
+        load()[name][0](inputs)
+    assert len(met) == 4 and met[1].where("NOT flagged").isEmpty()
