@@ -264,12 +264,17 @@ def src_route_kind(i):
 _HEADERS = {f: names[-1] for f, names in SHIPMENT_HEADERS.items()}
 
 
+#: Rows of an export: packed files, and those whose cells hold line breaks, can't be split.
+EXPORT_ROWS = 100_000
+
+
 def _delimited(df: DataFrame, path: str, sep: str, encoding: str = "UTF-8") -> None:
-    df.write.csv(path, header=True, sep=sep, encoding=encoding, escape='"')
+    df.write.option("maxRecordsPerFile", EXPORT_ROWS).csv(
+        path, header=True, sep=sep, encoding=encoding, escape='"', compression="gzip")
 
 
 def shipment_files(i: Inputs) -> str:
-    """Shipment exports of several dialects in one folder of the shared one.
+    """Shipment exports of several dialects in one folder of the shared one, packed.
 
     A semicolon export of 200 columns in Latin-1, a tab one whose header and items hold line
     breaks, a comma one with the columns reversed; beside them files that give no rows.

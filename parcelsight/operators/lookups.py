@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parcelsight.functions.classify import add_invoice_category, master_category
 from parcelsight.functions.scalars import (
     blank_to_null, clean_name, norm_awb, norm_order, split_skus, text, to_money)
-from parcelsight.operators.common import spread_blank
+from parcelsight.operators.common import maybe_in, spread_blank
 
 WEAK = ["Others", "Unknown", ""]
 
@@ -56,6 +56,14 @@ def order_dim(shipments: DataFrame) -> DataFrame:
         F.col("v.v").alias("ord_value"), F.col("l.v").alias("ord_lane"))
 
 
+def likely_billed(shipments: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Shipments whose AWB may be on a line, and those whose order id may be: `match_shipments` needs no
+    others. It is for lines that are far fewer than shipments, and takes shipments as they come.
+    """
+    return tuple(maybe_in(shipments, key(F.col(c)), lines.select(key(F.col(c)).alias("id")), "_billed")
+                 .where("_billed").drop("_billed") for c, key in (("awb", norm_awb), ("order_id", norm_order)))
+
+
 def billed_shipments(shipments: DataFrame, lines: DataFrame) -> DataFrame:
     """Shipments whose AWB or order id is on an invoice.
 
@@ -90,16 +98,18 @@ def in_enrichment_window(shipments: DataFrame, lines: DataFrame) -> DataFrame:
         .where(day.between(F.col("_b.from_date"), F.col("_b.to_date"))).drop("_b")
 
 
-def match_shipments(lines: DataFrame, shipments: DataFrame) -> DataFrame:
+def match_shipments(lines: DataFrame, shipments: DataFrame | tuple[DataFrame, DataFrame]) -> DataFrame:
     """Match lines by AWB, else by order id, adding ``m_product``, ``m_value``, ``m_lane``.
 
-    The payload travels as a struct, so fields of the two sources never mix.
+    The payload travels as a struct, so fields of the two sources never mix. Given as a pair, the first
+    shipments are searched by AWB and the second by order id (`likely_billed`).
     """
+    by_awb, by_order = shipments if isinstance(shipments, tuple) else (shipments, shipments)
     keyed = lines.withColumns({
         "_ka": spread_blank(norm_awb(F.col("awb")), F.concat("order_id", "sku", "amount")),
         "_ko": spread_blank(norm_order(F.col("order_id")), F.concat("awb", "sku", "amount"))})
-    joined = keyed.join(awb_dim(shipments), F.col("_ka") == F.col("awb_key"), "left") \
-        .join(order_dim(shipments), F.col("_ko") == F.col("ord_key"), "left")
+    joined = keyed.join(awb_dim(by_awb), F.col("_ka") == F.col("awb_key"), "left") \
+        .join(order_dim(by_order), F.col("_ko") == F.col("ord_key"), "left")
     return joined.withColumns({
         "m_product": F.coalesce("awb_product", "ord_product"),
         "m_value": F.coalesce("awb_value", "ord_value"),
@@ -240,18 +250,26 @@ def enrich_from_master(lines: DataFrame, master: DataFrame) -> DataFrame:
     }).drop("_ks", "ms_key", "ms", "_open")
 
 
-def settle_skus(lines: DataFrame, master: DataFrame, shipments: DataFrame) -> DataFrame:
+def _sku_is_blank() -> Column:
+    return F.coalesce(F.col("sku") == "", F.lit(False))
+
+
+def without_sku(lines: DataFrame) -> DataFrame:
+    return lines.where(_sku_is_blank())
+
+
+def settle_skus(lines: DataFrame, master: DataFrame,
+                shipments: DataFrame | tuple[DataFrame, DataFrame]) -> DataFrame:
     """Lines with the SKU that the enrichment gives them; their own one goes to ``own_sku``.
 
     Only a blank SKU is ever replaced, so only lines without one meet the master and the shipments.
     """
-    blank = F.coalesce(F.col("sku") == "", F.lit(False))
     kept = lines.withColumn("own_sku", F.col("sku"))
     own = {c: f"_own_{c}" for c in ("category", "product", "sku_name")}
     filled = attach_products(match_shipments(enrich_from_master(
-        kept.where(blank).withColumns({o: F.col(c) for c, o in own.items()}), master), shipments))
+        without_sku(kept).withColumns({o: F.col(c) for c, o in own.items()}), master), shipments))
     # only the SKU is taken: all else is enriched from the line as it came
-    return kept.where(~blank).unionByName(
+    return kept.where(~_sku_is_blank()).unionByName(
         filled.select(*[F.col(own.get(c, c)).alias(c) for c in kept.columns]))
 
 

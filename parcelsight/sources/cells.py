@@ -14,7 +14,8 @@ from parcelsight.session import cut_lineage
 HEAD_ROWS = 15
 #: What cells may be parted by; of equal claims the earlier one holds.
 SEPARATORS = (",", "\t", ";", "|")
-EXTENSIONS = "*.{csv,tsv,CSV,TSV}"
+#: Names of delimited files; those that end in gz are unpacked by the readers and never split.
+EXTENSIONS = "*.{csv,tsv,CSV,TSV,csv.gz,tsv.gz,CSV.gz,TSV.gz}"
 
 
 def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -96,7 +97,7 @@ def file_dialects(spark: SparkSession, path: str | list[str]) -> DataFrame:
             F.explode(F.split(bare, "\r\n|\r|\n")).alias("bare")).where(F.trim("bare") != "")
         found = found.join(facts.where("multiline"), "uri", "left_anti").unionByName(
             _separators(_shapes(rows)))
-    by_name = F.when(F.lower("uri").endswith(".tsv"), F.lit("\t")).otherwise(",")
+    by_name = F.when(F.lower("uri").rlike(r"\.tsv(\.gz)?$"), F.lit("\t")).otherwise(",")
     return cut_lineage(facts.join(found, "uri").select(
         _plain(F.col("uri")).alias("file"),
         F.when(F.col("alike") > 0, F.get(F.array(*map(F.lit, SEPARATORS)), F.col("at")))
